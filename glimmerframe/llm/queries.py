@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmerframe.llm import encode
+from glimmerframe.llm import encode, leaks
 
 VOCABULARY = os.environ.get("GLIMMERFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -16,8 +16,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
