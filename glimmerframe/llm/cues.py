@@ -52,6 +52,12 @@ def skeleton(word: str) -> str:
     return "".join(c for c in core.translate(FOLD) if c.isalnum() or c == LOST)
 
 
+def bare(word: str) -> str:
+    """The skeleton of what wrong encodings cannot change: a word's ASCII characters, or the whole word where these are less than half of it."""
+    lean = "".join(c for c in word if c < "\x80")
+    return skeleton(lean if 2 * len(lean) >= len(word) else word) or skeleton(word)
+
+
 class Skeletons(dict):
     """word -> skeleton, remembered; forgets everything when it has grown too large."""
 

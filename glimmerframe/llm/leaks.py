@@ -29,14 +29,15 @@ def word_hash(word: str) -> int:
 
 
 class Codes(dict):
+    """word -> hash of its bare skeleton; 0 for what is no word."""
+
     def __init__(self) -> None:
         self.skeletons = cues.Skeletons()
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        bone = self.skeletons[word]
-        self[word] = code = word_hash(bone) if bone else 0
+        self[word] = code = word_hash(cues.bare(word)) if self.skeletons[word] else 0
         return code
 
 
@@ -56,7 +57,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], least: int):
         codes = Codes()
-        self.ids, self.bones, found = [], [], []
+        self.ids, self.bones, self.codes, found = [], [], [], []
         for item, passage in rows:
             words = [w for w in cues.spoken(passage or "") if codes[w]]
             if len(words) < least:
@@ -66,6 +67,7 @@ class Items:
                 h = seeds(array, mask)
                 found.append((h, np.full(len(h), len(self.ids)), np.arange(len(h)), np.full(len(h), m)))
             self.ids.append(item)
+            self.codes.append([codes[w] for w in words])
             self.bones.append([codes.skeletons[w] for w in words])
         hashes, item, at, mask = (np.concatenate([np.zeros(0, f[k].dtype) if not len(f[k]) else f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(4))
         order = np.argsort(hashes, kind="stable")
@@ -99,25 +101,27 @@ def found_in(texts: list[str], items: Items, codes: Codes, least: int) -> Iterat
     starts = np.cumsum([0, *sizes])
     if not arrays:
         return
-    done: set[tuple[int, int, int]] = set()
+    seen: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     leaks: set[tuple[int, int]] = set()
     for place, item, at in items.hits(np.array(arrays, np.uint64)):
         text = int(np.searchsorted(starts, place, "right")) - 1
         inside = place - int(starts[text])
-        if (text, item) in leaks or (key := (text, item, inside - at)) in done:
+        own, bones, hashes = words[text], items.bones[item], items.codes[item]
+        if inside >= len(own) or (text, item) in leaks:
             continue
-        own, bones = words[text], items.bones[item]
-        if inside >= len(own):
+        runs = seen.setdefault((text, item, inside - at), [])  # of this diagonal, as far as it has been compared
+        if any(a <= inside < b for a, b in runs):
             continue
-        done.add(key)
-        # every run on this diagonal, so that one visit per diagonal is enough
-        shift, run = inside - at, 0
-        for q in range(max(0, -shift), min(len(bones), len(own) - shift)):
-            run = run + 1 if cues.same(codes.skeletons[own[q + shift]], bones[q]) else 0
-            if run >= least:
-                leaks.add((text, item))
-                yield text, item
-                break
+        ends = []
+        for way in (-1, 1):
+            p, q = inside, at
+            while 0 <= p < len(own) and 0 <= q < len(bones) and (codes[own[p]] == hashes[q] or cues.same(codes.skeletons[own[p]], bones[q])):
+                p, q = p + way, q + way
+            ends.append(p)
+        runs.append((ends[0] + 1, ends[1]))
+        if ends[1] - ends[0] - 1 >= least:
+            leaks.add((text, item))
+            yield text, item
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 12, block_words: int = 400_000) -> DataFrame:
