@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmerframe.llm import encode, leaks
+from glimmerframe.llm import encode, leaks, residue
 
 VOCABULARY = os.environ.get("GLIMMERFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -20,8 +20,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
