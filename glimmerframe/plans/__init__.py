@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = []
+MODULES = ["training"]
 
 
 def load_all() -> None:
