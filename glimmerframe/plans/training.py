@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glimmerframe.operators import implausible
+from glimmerframe.operators import implausible, profile
 from glimmerframe.plans.registry import register
 
 P5_SQL = """
@@ -28,3 +29,37 @@ P5_SQL = P5_SQL.replace("least(x - b1, x - a1) > 12 * u", "x - b1 > 12 * u AND x
 @register("p5_found", P5_SQL)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible.find_implausible(spark.read.parquet(f"{sf_dir}/raw_df.parquet"), spark.read.parquet(f"{sf_dir}/rigs.parquet"))
+
+
+P3_SQL = r"""
+WITH a AS (SELECT load_id, avg((Time IS NULL)::INT) AS t, avg((Cell_1 IS NULL)::INT) AS c, avg(coalesce(Time < 1 OR Time > 1000000000, false)::INT) AS o,
+                  median(Cell_1) FILTER (isfinite(Cell_1)) AS m FROM raw_df WHERE load_id IS NOT NULL GROUP BY 1),
+u AS (SELECT median(m) AS u FROM a),
+r AS (SELECT load_id, count(Time) AS nt, count(Cell_1) AS nc, count(DISTINCT Cell_1) AS d, count(*) FILTER (NOT regexp_full_match(Time, '[0-9]+')) AS bt,
+             count(*) FILTER (NOT regexp_full_match(Cell_1, '[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?')) AS bc FROM raw_records WHERE load_id IS NOT NULL GROUP BY 1)
+SELECT 'raw_df' AS table_name, 'Time' AS column_name, load_id, 'null_rate' AS finding FROM a WHERE t > 0.1::DOUBLE
+UNION ALL SELECT 'raw_df', 'Cell_1', load_id, 'null_rate' FROM a WHERE c > 0.1::DOUBLE
+UNION ALL SELECT 'raw_df', 'Time', load_id, 'range' FROM a WHERE o > 0.02::DOUBLE
+UNION ALL SELECT 'raw_df', 'Cell_1', load_id, 'shift' FROM a, u WHERE m > 1.8::DOUBLE * u OR m < u / 1.8::DOUBLE
+UNION ALL SELECT 'raw_records', 'Time', load_id, 'pattern' FROM r WHERE bt > 0.1::DOUBLE * nt
+UNION ALL SELECT 'raw_records', 'Cell_1', load_id, 'pattern' FROM r WHERE bc > 0.1::DOUBLE * nc
+UNION ALL SELECT 'raw_records', 'Cell_1', load_id, 'distinct' FROM r WHERE d < 0.4::DOUBLE * nc"""
+
+
+@register("p3_found", P3_SQL)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.findings(spark.read.parquet(f"{sf_dir}/raw_df.parquet"), spark.read.parquet(f"{sf_dir}/raw_records.parquet"))
+
+
+@register("p3_profile")
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for table in ("raw_df", "raw_records"):
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        parts.append(profile.standard_profile(rows, "load_id").select(F.lit(table).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+@register("p3_expressions")
+def p3_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.induced(spark.read.parquet(f"{sf_dir}/raw_records.parquet"), "load_id", ["Time", "Cell_1", "recording_id"])
