@@ -7,11 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmerframe.llm import encode, leaks, residue
+from glimmerframe.llm import encode, leaks, residue, split
 
 VOCABULARY = os.environ.get("GLIMMERFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.breaks(spark.read.parquet(f"{sf_dir}/raw_df.parquet"))
+
+
+P1_SQL = """
+WITH f AS (SELECT recording_id, captured_at, max(Time) AS t FROM raw_df WHERE recording_id IS NOT NULL AND captured_at IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, epoch_us(captured_at) - lag(epoch_us(captured_at)) OVER (PARTITION BY recording_id ORDER BY captured_at) AS gap FROM f),
+m AS (SELECT *, median(gap) OVER (PARTITION BY recording_id) AS usual, count(*) OVER (PARTITION BY recording_id) AS n FROM g)
+SELECT DISTINCT recording_id, t AS boundary_time FROM m WHERE n > 400 AND gap > 20 * usual AND t IS NOT NULL"""
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.pieces(spark.read.parquet(f"{sf_dir}/raw_df.parquet"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY)
 
@@ -25,8 +40,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL}
