@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glimmerframe.llm import encode, leaks, residue, split
+from glimmerframe.llm import encode, leaks, neighbours, percentiles, residue, split
 
 VOCABULARY = os.environ.get("GLIMMERFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -27,6 +28,39 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(spark.read.parquet(f"{sf_dir}/raw_df.parquet"))
 
 
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_load = percentiles.sketches(spark.read.parquet(f"{sf_dir}/raw_df.parquet"), ["recording_id", "load_id"], "Cell_1")
+    by_method = percentiles.sketches(spark.read.parquet(f"{sf_dir}/spike_results.parquet"), ["recording_id", "method"], "spike")
+    return by_load.withColumn("column_name", F.lit("Cell_1")).unionByName(by_method.withColumn("column_name", F.lit("spike")), allowMissingColumns=True)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.percentiles(_sketched(spark, sf_dir), ["column_name", "recording_id", "load_id", "method"])
+
+
+def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["column_name", "recording_id"]
+    return percentiles.percentiles(percentiles.combine(_sketched(spark, sf_dir), keys), keys)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.mutual(spark.read.parquet(f"{sf_dir}/cell_windows.parquet"))
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.most_similar(spark.read.parquet(f"{sf_dir}/cell_windows.parquet"), fill=True)
+
+
+P4_SQL = """
+WITH e AS (SELECT window_id, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM cell_windows WHERE len(vec) = 64),
+w AS (SELECT window_id FROM e GROUP BY 1 HAVING count(v) = 64 AND count(*) FILTER (NOT isfinite(v)) = 0 AND min(v) < max(v)),
+c AS (SELECT e.window_id, i, v - avg(v) OVER (PARTITION BY e.window_id) AS d FROM e JOIN w USING (window_id)),
+u AS (SELECT window_id, list(d / n ORDER BY i)::DOUBLE[64] AS x FROM (SELECT *, sqrt(sum(d * d) OVER (PARTITION BY window_id)) AS n FROM c) GROUP BY 1),
+s AS (SELECT a.window_id AS a, b.window_id AS b, array_inner_product(a.x, b.x) AS r FROM u a JOIN u b ON a.window_id <> b.window_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS k FROM s)
+SELECT p.a AS window_a, p.b AS window_b FROM t p JOIN t q ON p.a = q.b AND p.b = q.a WHERE p.a < p.b AND p.k <= 5 AND q.k <= 5 AND p.r >= 0.97::DOUBLE"""
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY)
 
@@ -40,8 +74,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
