@@ -63,7 +63,7 @@ PIECE = "source string, region long, place long, n long, started_at long, ended_
 
 def pieces(
     df: DataFrame, source: str = "recording_id", at: str = "captured_at", time: str = "Time", value: str = "Cell_1", limit: int = 400, overlap: int = 20,
-    block_seconds: int = ordered.BLOCK_SECONDS, with_frames: bool = True,
+    block_seconds: int = ordered.BLOCK_SECONDS, with_frames: bool = True, longer_than: int = 0,
 ) -> DataFrame:
     """One row per piece of every source: (source, region, place, n, started_at, ended_at, atom_times, atom_strengths[, times, cells]).
 
@@ -71,7 +71,7 @@ def pieces(
     cells begin with the last `overlap` frames of the piece before (fewer if that has fewer) and hold at most `limit`. atom_times and
     atom_strengths: time of the first frame of each atomic segment that begins in the piece, and its interval from the frame before as a multiple of
     the source's median interval (infinite at the start of a source, null where the median is 0). A source of at most `limit` frames is
-    one piece. Null source or moment: left out; null time or value: kept. Empty tables give an empty result; other columns are ignored.
+    one piece; those of at most `longer_than` frames are left out. Null source or moment: left out; null time or value: kept. Empty tables give an empty result; other columns are ignored.
 
     A source is worked on in regions: it is cut at the strongest break of each time block, a boundary that merging would reach last, so one region
     spans at most two blocks however long the source is.
@@ -83,7 +83,7 @@ def pieces(
     b = f.groupBy("source", "block").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("__n"), F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", (-F.col("at")).alias("at")))).alias("inner"))
     b = b.select("*", F.lag("block").over(along).alias("prev_block"), (F.col("first_at") - F.lag("last_at").over(along)).alias("first_gap"), F.sum("__n").over(Window.partitionBy("source")).alias("frames"))
     outer = F.struct(F.coalesce("first_gap", F.lit((1 << 62))).alias("gap"), (-F.col("first_at")).alias("at"))
-    b = b.withColumn("leader", -F.greatest(outer, F.col("inner"))["at"])
+    b = b.filter(F.col("frames") > longer_than).withColumn("leader", -F.greatest(outer, F.col("inner"))["at"])
     intervals = f.select("source", F.col("gap").alias("d")).unionByName(b.select("source", F.col("first_gap").alias("d")))
     usual = exact_quantile(intervals, ["source"], "d", name="usual")
     about = b.join(usual, "source", "left").select("source", "block", "leader", "prev_block", "first_gap", "frames", "usual")
@@ -139,8 +139,7 @@ def breaks(df: DataFrame, source: str = "recording_id", more_than: float = 20.0,
 
     A break is always the start of an atomic segment, whether its two sides were merged into one piece or not. Frames of null time give no row.
     """
-    made = pieces(df, source, with_frames=False, **columns)
-    size = made.groupBy(source).agg(F.sum("n").alias("__frames")).filter(F.col("__frames") > longer_than).select(source)
-    found = made.join(size, source, "left_semi").select(source, F.explode(F.arrays_zip("atom_times", "atom_strengths")).alias("a"))
+    made = pieces(df, source, with_frames=False, longer_than=longer_than, **columns)
+    found = made.select(source, F.explode(F.arrays_zip("atom_times", "atom_strengths")).alias("a"))
     strong = (F.col("a.atom_strengths") > more_than) & (F.col("a.atom_strengths") < float("inf")) & F.col("a.atom_times").isNotNull()
     return found.filter(strong).select(source, F.col("a.atom_times").alias("boundary_time")).distinct()
