@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["training"]
+MODULES = ["training", "trace_queries", "spike_queries"]
 
 
 def load_all() -> None:
