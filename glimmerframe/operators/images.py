@@ -114,7 +114,7 @@ def sobel(px: DataFrame) -> DataFrame:
 def components(px: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(frame, r, c, label): 4-connected regions of pixels above 0, labelled by their least r * 1000000 + c.
 
-    Least labels spread to neighbours, each round also jumping to the label of the label's own pixel, until nothing changes.
+    Each round every region takes the least label that touches any of its pixels, as a whole, until nothing changes.
     """
     on = px.filter(F.col("value") > 0).select(*KEYS)
     code = F.col("r") * 1_000_000 + F.col("c")
@@ -124,9 +124,11 @@ def components(px: DataFrame, most_rounds: int = 64) -> DataFrame:
         sent = labels.select("frame", "r", "c", "label", F.explode(steps).alias("s")).select("frame", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), "label")
         best = sent.groupBy(*KEYS).agg(F.min("label").alias("low"))
         near = labels.join(best, KEYS)
-        jump = near.select("frame", F.floor(F.col("low") / 1_000_000).alias("r"), (F.col("low") % 1_000_000).alias("c"), "low").distinct().join(near.select(*KEYS, F.col("low").alias("far")), KEYS)
-        new = near.join(jump.select("frame", "low", "far"), ["frame", "low"], "left").select(*KEYS, "label", F.least("low", F.coalesce("far", "low")).alias("new"))
-        new = cut(new)
+        lowest = near.groupBy("frame", "label").agg(F.min("low").alias("new"))
+        for _ in range(2):  # labels that will change themselves are followed four steps
+            onward = lowest.select("frame", F.col("label").alias("new"), F.col("new").alias("far"))
+            lowest = lowest.join(onward, ["frame", "new"]).select("frame", "label", F.col("far").alias("new"))
+        new = cut(labels.join(lowest, ["frame", "label"]))
         changed = new.filter(F.col("new") < F.col("label")).head(1)
         labels = new.select(*KEYS, F.col("new").alias("label"))
         if not changed:
