@@ -19,22 +19,29 @@ def loess(t: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     q = min(n, max(3, int(n * span + 1e-5)))
     order = np.argsort(x, kind="stable")
     x, v = x[order], v[order]
-    fit, lo = np.empty(n), 0
+    first, lo = np.empty(n, int), 0
     for i in range(n):
         while lo + q < n and x[lo + q] - x[i] < x[i] - x[lo]:
             lo += 1
-        d = x[lo : lo + q] - x[i]
-        h = np.abs(d).max()
-        w = (1 - (np.abs(d) / h) ** 3) ** 3 if h > 0 else np.ones(q)
-        s = d / (h or 1.0)
-        p = [(w * s**k).sum() for k in range(5)]
-        b = [(w * s**k * v[lo : lo + q]).sum() for k in range(3)]
-        a = np.array([[p[0], p[1], p[2]], [p[1], p[2], p[3]], [p[2], p[3], p[4]]])
-        if np.linalg.cond(a) > 1e12:
+        first[i] = lo
+    fit = np.empty(n)
+    for a in range(0, n, max(1, 2_000_000 // q)):
+        rows = slice(a, min(n, a + max(1, 2_000_000 // q)))
+        at = first[rows, None] + np.arange(q)
+        d = x[at] - x[rows, None]
+        h = np.abs(d).max(1, keepdims=True)
+        s = d / np.where(h > 0, h, 1.0)
+        w = (1 - np.abs(s) ** 3) ** 3
+        p = [(w * s**k).sum(1) for k in range(5)]
+        b = np.array([(w * s**k * v[at]).sum(1) for k in range(3)]).T
+        m = np.array([[p[i + j] for j in range(3)] for i in range(3)]).transpose(2, 0, 1)
+        sound = np.abs(np.linalg.det(m)) > 1e-12 * np.maximum(p[0], 1e-300) ** 3
+        m[~sound] = np.eye(3)
+        part = np.linalg.solve(m, b[:, :, None])[:, 0, 0]
+        if not sound.all():
             c = np.polyfit(x, v, 1) if x[0] != x[-1] else [0.0, v.mean()]
-            fit[i] = c[0] * x[i] + c[1]
-        else:
-            fit[i] = np.linalg.solve(a, b)[0]
+            part[~sound] = (c[0] * x[rows] + c[1])[~sound]
+        fit[rows] = part
     back = np.empty(n)
     back[order] = fit
     out[good] = back

@@ -168,17 +168,19 @@ def folds(df: DataFrame, k: int = CONFIG.cv_folds) -> DataFrame:
 
 def optimise_span(df: DataFrame, target: str = "snr", spans: tuple[float, ...] = CONFIG.span_grid, k: int = CONFIG.cv_folds) -> DataFrame:
     """(span, score, best): the mean over folds of the metric of each fold corrected with each span; best marks the highest (least span of equals)."""
-    grid = folds(df, k).withColumn("span", F.explode(F.array(*[F.lit(s) for s in spans])))
     kind = df.schema["cell"].dataType.simpleString()
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("t")
-        y = p["value"].to_numpy(float)
-        mean = np.nanmean(y) if np.isfinite(y).any() else np.nan
-        y = y / mean if mean else np.full(len(y), np.nan)
-        return p.assign(value=y - K.loess(p["t"].to_numpy(), y, float(p["span"].iloc[0])))
+        out = []
+        for fold, part in p.sort_values("t").groupby("fold"):
+            y = part["value"].to_numpy(float)
+            mean = np.nanmean(y) if np.isfinite(y).any() else np.nan
+            y = y / mean if mean else np.full(len(y), np.nan)
+            for span in spans:
+                out.append(pd.DataFrame({"span": span, "fold": fold, "cell": p["cell"].iloc[0], "t": part["t"], "value": y - K.loess(part["t"].to_numpy(), y, span)}))
+        return pd.concat(out)
 
-    done = grid.select("span", "fold", "cell", "t", "value").groupBy("span", "fold", "cell").applyInPandas(one, f"span double, fold int, cell {kind}, t long, value double")
+    done = folds(df, k).select("fold", "cell", "t", "value").groupBy("cell").applyInPandas(one, f"span double, fold int, cell {kind}, t long, value double")
     score = metric(done.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), target, ["span", "fold"]).groupBy("span").agg(F.avg("score").alias("score"))
     top = score.agg(F.max_by("span", F.struct("score", -F.col("span"))).alias("top"))
     return score.join(F.broadcast(top)).select("span", "score", (F.col("span") == F.col("top")).alias("best"))
