@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmerframe.functions.quantiles import exact_quantile
-from glimmerframe.session import cut
+from glimmerframe.session import cut, spread
 
 
 def pairs(df: DataFrame, *columns: str, extra: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
@@ -137,7 +137,7 @@ def granger(df: DataFrame, max_lag: int = 5) -> DataFrame:
         return pd.DataFrame({"src": p["src"].iloc[:1], "dst": p["dst"].iloc[:1], "f": [f]})
 
     kind = df.schema["cell"].dataType.simpleString()
-    return pairs(df.filter(F.col("value").isNotNull()), "value", ordered=True).groupBy("src", "dst").applyInPandas(fit, f"src {kind}, dst {kind}, f double")
+    return spread(pairs(df.filter(F.col("value").isNotNull()), "value", ordered=True), "src", "dst").groupBy("src", "dst").applyInPandas(fit, f"src {kind}, dst {kind}, f double")
 
 
 def nodes_of(df: DataFrame) -> DataFrame:

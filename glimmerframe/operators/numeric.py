@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from glimmerframe.config import CONFIG
 from glimmerframe.functions import kernels as K
 from glimmerframe.operators import traces as T
+from glimmerframe.session import spread
 
 
 def _seed(*key) -> np.random.Generator:
@@ -34,7 +35,7 @@ def per_trace(df: DataFrame, run: Callable[[np.ndarray, np.ndarray], np.ndarray]
         out = run(p["t"].to_numpy(), p["value"].to_numpy(float))
         return p.assign(value=pd.Series(out, index=p.index).where(np.isfinite(out)))[["cell", "t", "value"]]
 
-    return df.select("cell", "t", "value").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, value double")
+    return spread(df.select("cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, value double")
 
 
 def loess_baseline(df: DataFrame, span: float = CONFIG.span) -> DataFrame:
@@ -74,7 +75,7 @@ def ssa(df: DataFrame, window: int | None = None, k: int | None = None) -> DataF
         parts = K.ssa(y, window, k)[1]
         return pd.DataFrame({"cell": np.repeat(p["cell"].iloc[0], parts.size), "t": np.tile(p["t"].to_numpy(), len(parts)), "component": np.repeat(np.arange(1, len(parts) + 1), len(y)), "value": parts.ravel()})
 
-    return df.select("cell", "t", "value").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, component int, value double")
+    return spread(df.select("cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, component int, value double")
 
 
 def emd(df: DataFrame, most: int = 10) -> DataFrame:
@@ -88,7 +89,7 @@ def emd(df: DataFrame, most: int = 10) -> DataFrame:
         names = [*range(1, len(parts)), 0]
         return pd.DataFrame({"cell": np.repeat(p["cell"].iloc[0], parts.size), "t": np.tile(p["t"].to_numpy(), len(parts)), "component": np.repeat(names, len(y)), "value": parts.ravel()})
 
-    return df.select("cell", "t", "value").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, component int, value double")
+    return spread(df.select("cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, component int, value double")
 
 
 def haar_denoise(df: DataFrame, levels: int = 3, noise: float = 0.1) -> DataFrame:
@@ -110,7 +111,7 @@ def per_matrix(df: DataFrame, key: str, run: Callable[[np.ndarray], dict[str, np
             out.append(pd.DataFrame({key: p[key].iloc[0], "part": part, "i": i.ravel() + 1, "j": j.ravel() + 1, "value": x.ravel()}))
         return pd.concat(out)
 
-    return df.select(key, "cell", "t", "value").groupBy(key).applyInPandas(one, f"{key} {kind}, {MATRIX}")
+    return spread(df.select(key, "cell", "t", "value"), key).groupBy(key).applyInPandas(one, f"{key} {kind}, {MATRIX}")
 
 
 def robust_pca(df: DataFrame, key: str) -> DataFrame:
@@ -180,7 +181,7 @@ def optimise_span(df: DataFrame, target: str = "snr", spans: tuple[float, ...] =
                 out.append(pd.DataFrame({"span": span, "fold": fold, "cell": p["cell"].iloc[0], "t": part["t"], "value": y - K.loess(part["t"].to_numpy(), y, span)}))
         return pd.concat(out)
 
-    done = folds(df, k).select("fold", "cell", "t", "value").groupBy("cell").applyInPandas(one, f"span double, fold int, cell {kind}, t long, value double")
+    done = spread(folds(df, k).select("fold", "cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"span double, fold int, cell {kind}, t long, value double")
     score = metric(done.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), target, ["span", "fold"]).groupBy("span").agg(F.avg("score").alias("score"))
     top = score.agg(F.max_by("span", F.struct("score", -F.col("span"))).alias("top"))
     return score.join(F.broadcast(top)).select("span", "score", (F.col("span") == F.col("top")).alias("best"))
@@ -199,7 +200,7 @@ def sample_spikes(df: DataFrame, model: str = "gaussian", draws: int = 1000, bur
         rows = [pd.DataFrame({"cell": p["cell"].iloc[0], "t": pd.array([None] * draws, "Int64"), "draw": pd.array(range(1, draws + 1), "Int64"), "param": k, "value": s[k]}) for k in ("mean", "spread", "amplitude", "spikes")]
         return pd.concat([frames, *rows])
 
-    return df.select("cell", "t", "value").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, draw long, param string, value double")
+    return spread(df.select("cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, draw long, param string, value double")
 
 
 def estimate_parameters(df: DataFrame, model: str = "gaussian", draws: int = 1000, burn: int = 100, seed: int = 1) -> DataFrame:
@@ -212,7 +213,7 @@ def estimate_parameters(df: DataFrame, model: str = "gaussian", draws: int = 100
         parts = {"rate": g.gamma(1 + max(y.sum(), 0.0), 1 / (1 + len(y)), draws)} if model == "poisson" else dict(zip(("mean", "variance"), K.normal_draws(y, draws, burn, g) if len(y) else (np.zeros(0), np.zeros(0))))
         return pd.concat([pd.DataFrame({"cell": cell, "draw": np.arange(1, len(v) + 1), "param": k, "value": v}) for k, v in parts.items()])
 
-    return df.select("cell", "value").groupBy("cell").applyInPandas(one, f"cell {kind}, draw long, param string, value double")
+    return spread(df.select("cell", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, draw long, param string, value double")
 
 
 def posterior_summary(draws: DataFrame, by: list[str], quantiles: tuple[float, ...] = (0.025, 0.5, 0.975)) -> DataFrame:
@@ -252,7 +253,7 @@ def predictive_check(df: DataFrame, draws: DataFrame, replicates: int = 100, see
         y = g.normal(p["mean"].to_numpy()[:, None], np.sqrt(p["variance"].to_numpy())[:, None], (len(p), int(p["n"].iloc[0])))
         return pd.DataFrame({"cell": p["cell"].iloc[:1], "p_mean": [(y.mean(1) >= p["m"].iloc[0]).mean()], "p_variance": [(y.var(1, ddof=1) >= p["v"].iloc[0]).mean()]})
 
-    return d.join(obs, "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, p_mean double, p_variance double")
+    return spread(d.join(obs, "cell"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, p_mean double, p_variance double")
 
 
 def synthetic(spark, cells: int = 5, frames: int = 1000, spike_prob: float = 0.02, seed: int = 1) -> DataFrame:

@@ -133,7 +133,7 @@ def modularity_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WINS = f"""i AS (SELECT cell, t - min(t) OVER () + 1 AS t, value FROM months), g AS (SELECT unnest(generate_series(0, (max(t) - 30) // 10)) AS g FROM i),
 w AS (SELECT g + 1 AS win, cell, t, value FROM i JOIN g ON t BETWEEN g * 10 + 1 AND g * 10 + 30), wins AS (SELECT DISTINCT win FROM w),
-e AS (SELECT a.win, a.cell AS src, b.cell AS dst, corr(a.value, b.value) AS w FROM w a JOIN w b ON a.win = b.win AND a.t = b.t AND a.cell < b.cell GROUP BY ALL), e2 AS (SELECT * FROM e WHERE abs(w) >= 0.3)"""
+e AS (SELECT a.win, a.cell AS src, b.cell AS dst, corr(a.value, b.value) AS w FROM w a JOIN w b ON a.win = b.win AND a.t = b.t AND a.cell < b.cell GROUP BY ALL), e2 AS (SELECT * FROM e WHERE isfinite(w) AND abs(w) >= 0.3)"""
 WBOTH = "b AS (SELECT win, src, dst, w FROM e2 UNION ALL SELECT win, dst, src, w FROM e2), n AS (SELECT count(DISTINCT cell) AS n FROM months)"
 
 

@@ -26,3 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder; later reads survive the loss of any executor."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df partitioned by keys into spark.sql.shuffle.partitions parts that are not merged again: for Python work, which costs far more per byte than what small parts are merged for."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
