@@ -166,7 +166,7 @@ def correction_quality(raw: DataFrame, corrected: DataFrame) -> DataFrame:
     """(cell, snr_raw, snr_corrected, improvement, stability, outlier_fraction, score, passed).
 
     stability: sd of the 50-frame moving mean, null for shorter cells; score: mean of min(improvement / 50, 1), max(0, 1 - stability / 0.1) and max(0, 1 -
-    outlier_fraction / 0.05); passed at 0.8 and more.
+    outlier_fraction / 0.05); passed at 0.8 and more, not where the score is missing.
     """
     snr = lambda d, n: d.groupBy("cell").agg(F.try_divide(F.avg("value"), F.stddev_samp("value")).alias(n))
     stable = moving_mean(corrected, 50, "m").groupBy("cell").agg(F.stddev_samp("m").alias("stability"))
@@ -176,7 +176,7 @@ def correction_quality(raw: DataFrame, corrected: DataFrame) -> DataFrame:
     floor = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
     parts = (F.least(F.lit(1.0), F.col("improvement") / 50), floor(1 - F.col("stability") / 0.1), floor(1 - F.col("outlier_fraction") / 0.05))
     score = (F.when(F.col("improvement").isNotNull(), parts[0]) + parts[1] + parts[2]) / 3
-    return q.withColumn("score", score).withColumn("passed", F.col("score") >= 0.8)
+    return q.withColumn("score", score).withColumn("passed", F.coalesce(F.col("score") >= 0.8, F.lit(False)))
 
 
 def soft_denoise(df: DataFrame, threshold: str = "universal") -> DataFrame:

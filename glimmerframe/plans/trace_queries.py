@@ -146,7 +146,7 @@ m AS ({ma(50, "x")}), st AS (SELECT cell, stddev_samp(value) AS stability FROM m
 o AS (SELECT cell, avg((value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))::INT) AS f FROM x JOIN {IQR.format("x")} USING (cell) GROUP BY cell),
 a AS (SELECT *, (snr_corrected - snr_raw) / nullif(snr_raw, 0) * 100 AS i FROM sr JOIN sc USING (cell) JOIN st USING (cell) JOIN o USING (cell)),
 s AS (SELECT *, (least(i / 50, 1) + CASE WHEN stability IS NOT NULL THEN greatest(0, 1 - stability / 0.1) END + greatest(0, 1 - f / 0.05)) / 3 AS s FROM a)
-SELECT cell, round(snr_raw, 6) AS snr_raw, round(snr_corrected, 6) AS snr_corrected, round(i, 6) + 0.0 AS improvement, round(stability, 6) AS stability, round(f, 6) AS outlier_fraction, round(s, 6) + 0.0 AS score, s >= 0.8 AS passed FROM s""")
+SELECT cell, round(snr_raw, 6) AS snr_raw, round(snr_corrected, 6) AS snr_corrected, round(i, 6) + 0.0 AS improvement, round(stability, 6) AS stability, round(f, 6) AS outlier_fraction, round(s, 6) + 0.0 AS score, coalesce(s >= 0.8, false) AS passed FROM s""")
 def correction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = traces(spark, sf_dir)
     q = T.correction_quality(df, T.detrend(df).withColumn("value", F.col("value") + 100))
