@@ -165,13 +165,22 @@ def validate_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.validate(traces(spark, sf_dir))
 
 
-@register("wide_to_long", "SELECT cell, t, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT Time AS t, UNNEST(['Cell_1', 'Cell_2', 'Cell_3', 'Cell_4', 'Cell_5']) AS cell, UNNEST([Cell_1, Cell_2, Cell_3, Cell_4, Cell_5]) AS value FROM raw_df WHERE Time BETWEEN 1 AND 100) WHERE isfinite(value) GROUP BY ALL")
-def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = spark.read.parquet(f"{sf_dir}/raw_df.parquet").filter(F.col("Time").between(1, 100))
+def by_frame(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    wide = spark.read.parquet(f"{sf_dir}/raw_df.parquet").filter(F.col("Time").between(1, last))
     long = T.long_from_wide(wide, "Time").filter(F.abs("value") < float("inf"))
     return long.groupBy("cell", "t").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
+@register("wide_to_long", "SELECT cell, t, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT Time AS t, UNNEST(['Cell_1', 'Cell_2', 'Cell_3', 'Cell_4', 'Cell_5']) AS cell, UNNEST([Cell_1, Cell_2, Cell_3, Cell_4, Cell_5]) AS value FROM raw_df WHERE Time BETWEEN 1 AND 100) WHERE isfinite(value) GROUP BY ALL")
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_frame(spark, sf_dir, 100)
+
+
+@register("wide_to_long_all")
+def wide_to_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_frame(spark, sf_dir, 1_000_000_000)
+
+
 @register("long_to_wide", f"WITH {BINS_SQL} SELECT t, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM bins WHERE event_type IN ('click', 'view') GROUP BY t")
 def long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bins(spark, sf_dir).withColumnRenamed("event_type", "cell")
