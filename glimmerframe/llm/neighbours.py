@@ -2,7 +2,8 @@
 
 Vectors are brought to one shape (mean taken off, length one), so that the inner product of two is their Pearson correlation. The two halves of a vector
 are quantised separately; a cell is a pair of centroids. A query walks the pairs in order of summed distance, by a heap, until the cells it has passed
-hold enough vectors; these are compared exactly. Queries and vectors meet in groups of one first-half centroid, cut to a bounded size on both sides.
+hold enough vectors; these are compared exactly. How many are enough is measured: a sample of the queries is compared with every vector, and the walk goes
+on until it passes the wanted share of their true neighbours. Queries and vectors meet in groups of one first-half centroid, cut to a bounded size on both sides.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from glimmerframe.session import cut
 
 SAMPLE, MOST_CENTROIDS, LEAST_VISITED, INDEX_ROWS, QUERY_ROWS = 20_000, 1024, 2_500, 20_000, 20_000
+MEASURED, RECALL = 512, 0.95
 
 
 def shapes(values: list[list[float | None] | None], size: int, fill: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +80,12 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
     return out
 
 
+def needed(first: np.ndarray, second: np.ndarray, counts: np.ndarray, u: int, v: int) -> int:
+    """Vectors that a walk must hold so that it passes the cell (u, v)."""
+    nearer = first[:, None] + second[None, :] <= first[u] + second[v]
+    return int(counts[nearer].sum())
+
+
 def best(similar: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k greatest of each row, greatest first, ties by column."""
     k = min(k, similar.shape[1])
@@ -92,7 +100,8 @@ def most_similar(df: DataFrame, id_col: str = "window_id", vec_col: str = "vec",
 
     Without fill only complete vectors of `size` finite, not all equal elements take part; with it gaps (null, not-a-number) are filled linearly from the
     readings around them. Codebooks are fitted on at most `sample` vectors (the first by hash of the id); every vector is indexed and every one is a
-    query. visited: vectors compared per query, by default max(2500, 20 * sqrt(n)). Vectors of one shape (equal to six decimals) are searched once and
+    query. visited: vectors compared per query, by default as many as a sample of MEASURED queries needs to pass the share RECALL of its true neighbours, and
+    at least max(2500, 20 * sqrt(n)). Vectors of one shape (equal to six decimals) are searched once and
     share the result, so that any number of copies costs no pairs: a class of copies is represented by its k + 1 least ids, the
     only ones that can be among anyone's k. Rows of null id are left out; of rows with one id the first by vector counts. An empty table gives an empty
     result; other columns are ignored.
@@ -133,6 +142,8 @@ def most_similar(df: DataFrame, id_col: str = "window_id", vec_col: str = "vec",
     counts = np.zeros((width, width), np.int64)
     for r in index.groupBy("u", "v").count().collect():  # at most MOST_CENTROIDS squared small rows
         counts[r.u, r.v] = r["count"]
+    if visited is None and total > LEAST_VISITED:
+        enough = max(enough, _measured(index, books.value, counts, kind, k, size))
     held = spark.sparkContext.broadcast(counts)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +210,39 @@ def most_similar(df: DataFrame, id_col: str = "window_id", vec_col: str = "vec",
     return out.select(id_col, (F.col("at") + 1).alias("rank"), F.col("e.n").alias("neighbour"), F.least(F.lit(1.0), -F.col("e.s")).alias("similarity"))
 
 
+def _measured(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, kind: str, k: int, size: int) -> int:
+    """Vectors to compare per query so that the walks of a sample of queries pass the share RECALL of their true neighbours."""
+    asked = index.select("id", "x").orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(MEASURED).collect()
+    y = np.array([r.x for r in asked])
+    sample = index.sparkSession.sparkContext.broadcast(([r.id for r in asked], y))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, y = sample.value
+        for batch in batches:
+            x = np.array(batch.column(1).flatten()).reshape(-1, size)
+            similar = y @ x.T
+            place = {key: i for i, key in enumerate(batch.column(0).to_pylist())}
+            for i, key in enumerate(own):
+                if key in place:
+                    similar[i, place[key]] = -np.inf
+            top = best(similar, k)
+            value = np.take_along_axis(similar, top, 1)
+            at, rank = np.nonzero(value > -np.inf)
+            hits = pa.array(top[at, rank])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(value[at, rank]), *[batch.column(c).take(hits) for c in (0, 2, 3)]], ["q", "similarity", "n", "u", "v"])
+
+    true = index.select("id", "x", "u", "v").mapInArrow(compare, f"q int, similarity double, n {kind}, u int, v int")
+    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))).filter(F.col("rank") <= k)
+    half, cells = size // 2, {}
+    for r in true.select("q", "u", "v").collect():  # k rows a sampled query
+        cells.setdefault(r.q, []).append((r.u, r.v))
+    passed = []
+    for q, own in cells.items():
+        first, second = distances(y[q : q + 1, :half], books[0])[0], distances(y[q : q + 1, half:], books[1])[0]
+        passed += [needed(first, second, counts, u, v) for u, v in own]
+    return sorted(passed)[math.ceil(RECALL * len(passed)) - 1]
+
+
 def mutual(df: DataFrame, id_col: str = "window_id", least: float = 0.97, **how) -> DataFrame:
     """(window_a, window_b), window_a < window_b: pairs of at least this correlation, each among the other's k most similar."""
     near = most_similar(df, id_col, **how).filter(F.col("similarity") >= least)
