@@ -58,17 +58,17 @@ def shapes(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
     return by_load.withColumn("in_expression", by_shape < spelled).drop("__c", "__d", "__l")
 
 
-def text_profile(rows: DataFrame, load: str, columns: dict[str, str]) -> DataFrame:
+def text_profile(rows: DataFrame, load: str, columns: dict[str, str | None]) -> DataFrame:
     """(column_name, load_id, filled, distinct_values, nonconforming, malformed, coverage_change): per load and text column.
 
-    columns: name -> the regular expression that a well-formed value matches as a whole. nonconforming: rows outside the induced expression; malformed: rows of
+    columns: name -> the regular expression that a well-formed value matches as a whole; None: the induced expression. nonconforming: rows outside the induced expression; malformed: rows of
     values that do not match, decided per shape, since all values of one shape match or none does; coverage_change: half the summed
     differences between the load's shares of shapes and those of all loads together (0 same, 1 disjoint).
     """
     s = shapes(rows, load, list(columns))
     well = F.lit(False)
     for name, pattern in columns.items():
-        well |= (F.col("column_name") == name) & F.col("example").rlike(pattern)
+        well |= (F.col("column_name") == name) & (F.col("in_expression") if pattern is None else F.col("example").rlike(pattern))
     s = s.withColumn("malformed", ~well)
     n = F.sum("rows").over(Window.partitionBy("column_name", "load_id"))
     every, column = Window.partitionBy("column_name", "shape"), Window.partitionBy("column_name")
@@ -111,6 +111,77 @@ def standard_profile(rows: DataFrame, load: str, columns: list[str] | None = Non
     return flat.select("p.column_name", F.col("__load").alias("load_id"), F.col("__rows").alias("rows"), nulls.alias("nulls"), (nulls / F.col("__rows")).alias("null_rate"), "p.bad_numbers", "p.approx_distinct", "p.lowest", "p.highest", "p.mean")
 
 
+def distinct_values(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
+    """(column_name, load_id, distinct_values) of columns of up to eight bytes a value: exact, as xxhash64 maps no two of these values of one type to one hash."""
+    names = F.array(*map(F.lit, columns))
+    hashes = F.stack(F.lit(len(columns)), *[x for i, c in enumerate(columns) for x in (F.lit(i), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))))]).alias("i", "h")
+    one = rows.select(F.col(load).alias("load_id"), hashes).filter(F.col("h").isNotNull()).distinct()
+    return one.groupBy("load_id", "i").agg(F.count("*").alias("distinct_values")).select(F.get(names, F.col("i")).alias("column_name"), "load_id", "distinct_values")
+
+
+def value_change(rows: DataFrame, load: str, columns: list[str], parts: int = 10) -> DataFrame:
+    """(column_name, load_id, change): half the summed differences between the load's shares of ranges of values and those of the other loads (0 same, 1 disjoint).
+
+    The ranges hold about equally many of all loads' values. Every finite value counts; a single load has no others, and null.
+    """
+    kinds, numbers = dict(rows.dtypes), {}
+    for c in columns:
+        v = F.col(f"`{c}`")
+        v = F.unix_micros(v.cast("timestamp")) if kinds[c].startswith("timestamp") else F.unix_date(v) if kinds[c] == "date" else v
+        v = v.cast("double")
+        numbers[c] = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) if kinds[c] in ("double", "float") else v
+    # only the ranges are approximate: their digests meet in one task, so they are kept small
+    found = rows.agg(*[F.percentile_approx(v, [i / parts for i in range(1, parts)], 200).alias(f"e{i}") for i, v in enumerate(numbers.values())]).first()
+    edges = F.array(*[F.lit(float(e)) for own in found for e in (own or [0.0] * (parts - 1))])
+    names = F.array(*map(F.lit, numbers))
+    values = F.stack(F.lit(len(numbers)), *[x for i, v in enumerate(numbers.values()) for x in (F.lit(i), v)]).alias("i", "v")
+    place = sum(((F.col("v") > F.get(edges, F.col("i") * (parts - 1) + j)).cast("int") for j in range(parts - 1)), F.lit(0))
+    s = rows.select(F.col(load).alias("load_id"), values).filter(F.col("v").isNotNull()).groupBy("load_id", "i", place.alias("place")).agg(F.count("*").alias("n"))
+    total = lambda *by: F.sum("n").over(Window.partitionBy(*by))
+    s = s.withColumn("__own", total("i", "load_id")).withColumn("__others", total("i") - F.col("__own"))
+    s = s.withColumn("__mine", F.col("n") / F.col("__own")).withColumn("__theirs", F.try_divide(total("i", "place") - F.col("n"), F.col("__others")))
+    # a range that a load lacks adds its whole share of the other loads, as in text_profile
+    change = (F.sum(F.abs(F.col("__mine") - F.col("__theirs"))) + 1 - F.sum("__theirs")) / 2
+    return s.groupBy("load_id", "i").agg(F.greatest(F.lit(0.0), change).alias("change")).withColumn("change", F.when(F.col("change").isNotNull(), F.least(F.lit(1.0), "change"))).select(F.get(names, F.col("i")).alias("column_name"), "load_id", "change")
+
+
+def load_profile(rows: DataFrame, load: str, patterns: dict[str, str]) -> DataFrame:
+    """standard_profile with distinct_values, nonconforming_rate, malformed_rate, null_rate_change and change: every column of every load.
+
+    Rates are of the load's non-null values. Text is malformed if it does not match its pattern, where one is given, else if it is outside the induced
+    expression (nonconforming); a number if it is not-a-number or infinite; other kinds have no malformed values. null_rate_change: the null rate less that
+    of the other loads together. change: how far values lie elsewhere than in the other loads (0 same, 1 disjoint), by shapes for text, by
+    ranges of values for others. Both are null where there are no others. distinct_values is exact.
+    """
+    kinds = {c: kind for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct"))}
+    texts = {c: patterns.get(c) for c, kind in kinds.items() if kind == "string"}
+    typed = [c for c in kinds if c not in texts]
+    parts = [standard_profile(rows, load)]
+    kept = [c for c in parts[0].columns if c not in ("column_name", "load_id")]
+    if texts:
+        column = Window.partitionBy("column_name")
+        others = F.sum("filled").over(column) - F.col("filled")
+        # against the other loads: the difference from all loads together, less the load's own part in these
+        change = F.try_divide(F.col("coverage_change") * F.sum("filled").over(column), others)
+        t = text_profile(rows, load, texts).withColumn("change", F.when(change.isNotNull(), F.least(F.lit(1.0), change)))
+        parts.append(t.select("column_name", "load_id", "distinct_values", "nonconforming", "malformed", "change"))
+    if typed:
+        parts += [distinct_values(rows, load, typed), value_change(rows, load, typed)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    extra = [c for c in ("distinct_values", "nonconforming", "malformed", "change") if c in whole.columns]
+    one = whole.groupBy("column_name", "load_id").agg(*[F.max(c).alias(c) for c in kept + extra])  # of each pair one row of each part
+    text, filled = F.col("column_name").isin(list(texts)), F.col("rows") - F.col("nulls")
+    column = Window.partitionBy("column_name")
+    others = F.try_divide(F.sum("nulls").over(column) - F.col("nulls"), F.sum("rows").over(column) - F.col("rows"))
+    has = lambda c: F.col(c) if c in extra else F.lit(None).cast("long")
+    return one.select(
+        "column_name", "load_id", *kept, F.coalesce(has("distinct_values"), F.lit(0)).alias("distinct_values"),
+        F.when(text, F.try_divide(has("nonconforming"), filled)).alias("nonconforming_rate"), F.try_divide(F.when(text, has("malformed")).otherwise(F.col("bad_numbers")), filled).alias("malformed_rate"),
+        (F.col("null_rate") - others).alias("null_rate_change"), "change")
+
+
 def medians(rows: DataFrame, load: str, column: str) -> DataFrame:
     """(load_id, median, usual, ratio): the exact median of a load's finite values against the median of all loads' medians."""
     by_load = exact_quantile(rows.select(F.col(load).alias("load_id"), F.col(column)), ["load_id"], column, name="median")

@@ -54,12 +54,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("p3_profile")
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for table in ("raw_df", "raw_records"):
+    for table, patterns in (("raw_df", {}), ("raw_records", {"Time": profile.NUMBERS["digits"], "Cell_1": profile.NUMBERS["number"]})):
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        parts.append(profile.standard_profile(rows, "load_id").select(F.lit(table).alias("table_name"), "*"))
+        parts.append(profile.load_profile(rows, "load_id", patterns).select(F.lit(table).alias("table_name"), "*"))
     return parts[0].unionByName(parts[1])
 
 
 @register("p3_expressions")
 def p3_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.induced(spark.read.parquet(f"{sf_dir}/raw_records.parquet"), "load_id", ["Time", "Cell_1", "recording_id"])
+    parts = []
+    for table in ("raw_df", "raw_records"):
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        parts.append(profile.induced(rows, "load_id", [c for c, kind in rows.dtypes if kind == "string"]).select(F.lit(table).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
