@@ -194,20 +194,22 @@ def _triangles(edges: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return ab.join(bc, [*extra, "b"]).join(ac, [*extra, "a", "c"])
 
 
-def closeness(edges: DataFrame, nodes: DataFrame, most_hops: int = 64) -> DataFrame:
+def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, closeness): one by the mean hop distance to all nodes within reach, itself at distance 0 included; null for a node without edges.
 
     Breadth-first from all nodes at once, one join per hop, until nothing new is reached. The table of reached pairs is cut to the shared checkpoint folder.
     """
     steps = both_ways(edges).select("src", "dst").distinct()
     reached = cut(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("d")))
-    for hop in range(1, most_hops + 1):
+    hop = 0
+    while True:
+        hop += 1
         last = reached.filter(F.col("d") == hop - 1).select("src", F.col("dst").alias("via"))
         new = last.join(steps.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct().join(reached.select("src", "dst"), ["src", "dst"], "left_anti")
         new = cut(new.withColumn("d", F.lit(hop)))
         if not new.head(1):
             break
-        reached = reached.unionByName(new)
+        reached = reached.unionByName(new) if hop % 16 else cut(reached.unionByName(new))  # the plan stays bounded
     return reached.groupBy(F.col("src").alias("node")).agg(F.try_divide(F.lit(1.0), F.nullif(F.avg("d"), F.lit(0.0))).alias("closeness"))
 
 
