@@ -28,6 +28,15 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(spark.read.parquet(f"{sf_dir}/raw_df.parquet"))
 
 
+def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.piece_sizes(p1_pieces(spark, sf_dir))
+
+
+P1_SIZES_SQL = """
+SELECT recording_id, count(DISTINCT captured_at) AS frames, count(DISTINCT captured_at) AS own_frames, 0::BIGINT AS too_long, 0::BIGINT AS short_overlaps, 0::BIGINT AS fitting_neighbours
+FROM raw_df WHERE recording_id IS NOT NULL AND captured_at IS NOT NULL GROUP BY 1"""
+
+
 def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_load = percentiles.sketches(spark.read.parquet(f"{sf_dir}/raw_df.parquet"), ["recording_id", "load_id"], "Cell_1")
     by_method = percentiles.sketches(spark.read.parquet(f"{sf_dir}/spike_results.parquet"), ["recording_id", "method"], "spike")
@@ -74,8 +83,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_sizes": p1_sizes, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p1_sizes": P1_SIZES_SQL, "p4_found": P4_SQL}

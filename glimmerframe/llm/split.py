@@ -1,8 +1,11 @@
 """Splitting long recordings into pieces at natural boundaries.
 
-Atomic segments (short stretches without any break) are merged agglomeratively: adjacent pairs wait in a heap by the strength of the boundary between
-them, and the weakest boundary goes first while the merged piece with its overlap stays within the limit. What remains are pieces that meet at the
-strongest breaks.
+Atomic segments are merged agglomeratively: adjacent pairs wait in a heap by the strength of the boundary between them, and the weakest boundary goes first
+while the merged piece with its overlap stays within the limit. What remains are pieces that meet at the strongest breaks.
+
+A source may hold a third of all frames, so the heap runs on bounded chunks of a source. A chunk decides only what cannot depend on its neighbours: a
+boundary whose two pieces might still grow over a chunk's edge stays open, unless they are too large already. The few open pieces at the edges are merged
+in a second pass by the same heap. The pieces are those of one heap over the whole source.
 """
 
 from __future__ import annotations
@@ -17,39 +20,42 @@ from pyspark.sql import functions as F
 from glimmerframe.functions.quantiles import exact_quantile
 from glimmerframe.operators import ordered
 
-ATOM, WEAK = 20, 1.5
-
-
-def atoms(strength: np.ndarray) -> np.ndarray:
-    """First frames of the atomic segments: at every interval above WEAK usual ones, and after ATOM frames at the latest."""
-    n = len(strength)
-    breaks = np.flatnonzero(~(strength <= WEAK))
-    breaks = np.unique(np.concatenate([[0], breaks])) if n else breaks
-    ends = np.append(breaks[1:], n)
-    return np.concatenate([np.arange(a, b, ATOM) for a, b in zip(breaks, ends)]) if n else breaks
+# Strengths of boundaries: of intervals up to WEAK usual ones (PLAIN), of these where a full piece would end (FULL), else the interval itself.
+PLAIN, FULL, WEAK = 1.0, 1.25, 1.5
+CHUNK_CELLS, BUCKET = 1000, 20_000
 
 
-def merged(sizes: list[int], strength: list[float], limit: int, overlap: int, opening: bool) -> list[int]:
-    """Numbers of the atoms that begin a piece. strength[i]: of the boundary before atom i; opening: the first piece repeats no frames.
+def merged(sizes: list[int], strength: list[float], limit: int, overlap: int, opening: bool, open_left: bool = False, beyond: float | None = None) -> tuple[list[int], set[int]]:
+    """(heads, undecided): numbers of the segments that begin a piece, and those of the boundaries that what lies outside may still remove.
 
-    Boundaries of equal strength go from left to right.
+    strength[i]: of the boundary before segment i; opening: the first piece repeats no frames. open_left: frames lie before the first segment; beyond: the least
+    strength of the boundary after the last one, if frames may follow. Boundaries of equal strength go from left to right.
     """
     n = len(sizes)
-    after, ahead, size, alive = [*range(1, n), -1], [-1, *range(n - 1)], list(sizes), [True] * n
-    heap = [(strength[i], i) for i in range(1, n)]
+    after, ahead, size, alive, grows, undecided, last = [*range(1, n), -1], [-1, *range(n - 1)], list(sizes), [True] * n, [False] * n, set(), n - 1
+    heap = [(strength[i], i) for i in range(0 if open_left else 1, n)]
+    if beyond is not None:
+        heap.append((beyond, n))
     heapify(heap)
     while heap:
         _, right = heappop(heap)
+        if right in (0, n):
+            grows[0 if right == 0 else last] = True
+            continue
         left = ahead[right]
-        room = limit if opening and left == 0 else limit - overlap
-        if size[left] + size[right] > room:
+        if size[left] + size[right] > (limit if opening and left == 0 else limit - overlap):
             continue  # pieces only grow, so this boundary stays
+        if grows[left] or grows[right]:
+            grows[left] = grows[right] = True
+            undecided.add(right)
+            continue
         size[left] += size[right]
         alive[right] = False
+        last = left if right == last else last
         after[left] = after[right]
         if after[right] >= 0:
             ahead[after[right]] = left
-    return [i for i in range(n) if alive[i]]
+    return [i for i in range(n) if alive[i]], undecided
 
 
 def _frames(df: DataFrame, source: str, at: str, time: str, value: str, seconds: int) -> DataFrame:
@@ -58,88 +64,141 @@ def _frames(df: DataFrame, source: str, at: str, time: str, value: str, seconds:
     return ordered.one_per_moment(ordered.in_blocks(f.select("source", ordered.block_of(F.col("at"), seconds).alias("block"), "at", "t", "x")), ["t", "x"])
 
 
-PIECE = "source string, region long, place long, n long, started_at long, ended_at long, atom_times array<long>, atom_strengths array<double>, times array<long>, cells array<double>"
+def _numbered(f: DataFrame, longer_than: int) -> DataFrame:
+    """Frames with their number in the source, from 0 (place), the source's number of frames, and the interval before as a multiple of the source's median one (strength)."""
+    inside, along = Window.partitionBy("source", "block").orderBy("at"), Window.partitionBy("source").orderBy("block")
+    f = f.withColumn("gap", F.col("at") - F.lag("at").over(inside)).withColumn("__rn", F.row_number().over(inside))
+    # one row a block: its edges, and the frames before it
+    b = f.groupBy("source", "block").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("__n"))
+    b = b.select("source", "block", (F.col("first_at") - F.lag("last_at").over(along)).alias("first_gap"), (F.sum("__n").over(along) - F.col("__n")).alias("before"), F.sum("__n").over(Window.partitionBy("source")).alias("frames"))
+    b = b.filter(F.col("frames") > longer_than)
+    intervals = f.select("source", F.col("gap").alias("d")).unionByName(b.select("source", F.col("first_gap").alias("d")))
+    f = f.join(b.join(exact_quantile(intervals, ["source"], "d", name="usual"), "source", "left"), ["source", "block"])
+    strength = F.coalesce("gap", "first_gap") / F.nullif("usual", F.lit(0.0))
+    return f.select("source", "block", "at", "t", "x", (F.col("before") + F.col("__rn") - 1).alias("place"), "frames", strength.alias("strength"))
+
+
+SEGMENT = "first long, n long, started_at long, ended_at long, first_time long, strength double, break_times array<long>, break_strengths array<double>"
+NAMES = ["first", "n", "started_at", "ended_at", "first_time", "strength", "break_times", "break_strengths"]
+FIELDS = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+
+
+def _merge(source, table: pa.Table, limit: int, overlap: int, chunk: bool) -> pa.Table:
+    """The pieces of one run of segments in order; of a chunk, whose edges are not the source's, pieces may stay open there."""
+    s = table.select([*NAMES, "frames"]).to_pydict()
+    order = sorted(range(table.num_rows), key=s["first"].__getitem__)
+    s = {k: [v[i] for i in order] for k, v in s.items()}
+    full = limit - overlap
+    whole = s["frames"][0] <= limit
+    rank = [x if x is not None and x > WEAK else FULL if not whole and a % full == 0 else PLAIN for a, x in zip(s["first"], s["strength"])]
+    starts = s["first"][0] == 0
+    ends = s["first"][-1] + s["n"][-1] == s["frames"][0]
+    open_left, open_right = chunk and not starts, chunk and not ends
+    heads, undecided = merged(s["n"], rank, limit, 0 if whole else overlap, starts, open_left, FULL if open_right else None)
+    rows = []
+    for p, h in enumerate(heads):
+        e = heads[p + 1] if p + 1 < len(heads) else len(order)
+        times, strengths = list(s["break_times"][h] or []), list(s["break_strengths"][h] or [])
+        for i in range(h + 1, e):  # boundaries that merging crossed
+            x = s["strength"][i]
+            if x is not None and x > WEAK:
+                times.append(s["first_time"][i])
+                strengths.append(x)
+            times += s["break_times"][i] or []
+            strengths += s["break_strengths"][i] or []
+        left = h in undecided or (open_left and p == 0)
+        right = (open_right and e == len(order)) or e in undecided
+        rows.append((source, s["first"][h], sum(s["n"][h:e]), s["started_at"][h], s["ended_at"][e - 1], s["first_time"][h], s["strength"][h], times, strengths, s["frames"][0], left, right))
+    columns = list(zip(*rows))
+    kinds = [pa.string(), *FIELDS, pa.int64(), pa.bool_(), pa.bool_()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", *NAMES, "frames", "open_left", "open_right"])
+
+
+def _merged_pieces(f: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """(source, first, n, started_at, ended_at, first_time, strength, break_times, break_strengths): the pieces that merging leaves, with the breaks it crossed."""
+    full = limit - overlap
+    inside = Window.partitionBy("source", "block").orderBy("at")
+    whole = F.col("frames") <= limit
+    begins = (F.col("place") == 0) | F.coalesce(F.col("strength") > WEAK, F.lit(False)) | (~whole & (F.col("place") % full == 0))
+    f = f.withColumn("__a", F.sum(begins.cast("int")).over(inside))
+    # atomic segments: frames of one time block without a break and without the place where a full piece would end
+    s = f.groupBy("source", "block", "__a").agg(
+        F.min("place").alias("first"), F.count("*").alias("n"), F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.min_by("t", "at").alias("first_time"), F.min_by("strength", "at").alias("strength"), F.max("frames").alias("frames"))
+    s = s.select("source", F.floor(F.col("first") / (full * CHUNK_CELLS)).alias("chunk"), *NAMES[:6], F.lit(None).cast("array<long>").alias("break_times"), F.lit(None).cast("array<double>").alias("break_strengths"), "frames")
+    schema = f"source string, {SEGMENT}, frames long, open_left boolean, open_right boolean"
+    made = s.groupBy("source", "chunk").applyInArrow(lambda key, table: _merge(key[0].as_py(), table, limit, overlap, True), schema)
+    is_open = F.col("open_left") | F.col("open_right")
+    run = F.sum(F.when(F.col("open_left"), 0).otherwise(1)).over(Window.partitionBy("source").orderBy("first"))  # the few open pieces of each chunk
+    rest = made.filter(is_open).withColumn("run", run).groupBy("source", "run").applyInArrow(lambda key, table: _merge(key[0].as_py(), table, limit, overlap, False), schema)
+    return made.filter(~is_open).unionByName(rest).drop("open_left", "open_right", "frames")
+
+
+def _checked(limit: int, overlap: int) -> None:
+    if overlap < 0 or limit <= overlap:
+        raise ValueError("limit must be greater than overlap, overlap not below 0")
 
 
 def pieces(
     df: DataFrame, source: str = "recording_id", at: str = "captured_at", time: str = "Time", value: str = "Cell_1", limit: int = 400, overlap: int = 20,
     block_seconds: int = ordered.BLOCK_SECONDS, with_frames: bool = True, longer_than: int = 0,
 ) -> DataFrame:
-    """One row per piece of every source: (source, region, place, n, started_at, ended_at, atom_times, atom_strengths[, times, cells]).
+    """One row per piece of every source: (source, first, n, started_at, ended_at, first_time, strength, break_times, break_strengths[, repeated, times, cells]).
 
-    Rows equal in source and moment are one frame; frames are ordered by moment. n, started_at and ended_at count a piece's own frames; times and
-    cells begin with the last `overlap` frames of the piece before (fewer if that has fewer) and hold at most `limit`. atom_times and
-    atom_strengths: time of the first frame of each atomic segment that begins in the piece, and its interval from the frame before as a multiple of
-    the source's median interval (infinite at the start of a source, null where the median is 0). A source of at most `limit` frames is
-    one piece; those of at most `longer_than` frames are left out. Null source or moment: left out; null time or value: kept. Empty tables give an empty result; other columns are ignored.
+    Rows equal in source and moment are one frame; frames are ordered by moment. first is the number, from 0, of the piece's first own frame in the source;
+    n, started_at and ended_at count own frames; strength is the interval before the piece as a multiple of the source's median one, break_times and break_strengths
+    tell of the breaks (of more than WEAK) inside it. times and cells begin with the `repeated` frames before the piece, the last `overlap` ones (fewer only where the source
+    has fewer), and hold at most `limit`. No two neighbouring pieces would fit into one. A source of at most `limit` frames is one piece; those of at most `longer_than`
+    frames are left out. Null source or moment: left out; null time or value: kept. Empty tables give an empty result; other columns are ignored.
 
-    A source is worked on in regions: it is cut at the strongest break of each time block, a boundary that merging would reach last, so one region
-    spans at most two blocks however long the source is.
+    Atomic segments begin after every break and at every multiple of limit - overlap frames of the source.
     """
-    f = _frames(df, source, at, time, value, block_seconds)
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("source", "block").orderBy("at"))
-    f = f.withColumn("gap", gap)
-    along = Window.partitionBy("source").orderBy("block")
-    b = f.groupBy("source", "block").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("__n"), F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", (-F.col("at")).alias("at")))).alias("inner"))
-    b = b.select("*", F.lag("block").over(along).alias("prev_block"), (F.col("first_at") - F.lag("last_at").over(along)).alias("first_gap"), F.sum("__n").over(Window.partitionBy("source")).alias("frames"))
-    outer = F.struct(F.coalesce("first_gap", F.lit((1 << 62))).alias("gap"), (-F.col("first_at")).alias("at"))
-    b = b.filter(F.col("frames") > longer_than).withColumn("leader", -F.greatest(outer, F.col("inner"))["at"])
-    intervals = f.select("source", F.col("gap").alias("d")).unionByName(b.select("source", F.col("first_gap").alias("d")))
-    usual = exact_quantile(intervals, ["source"], "d", name="usual")
-    about = b.join(usual, "source", "left").select("source", "block", "leader", "prev_block", "first_gap", "frames", "usual")
-    f = f.join(about, ["source", "block"])
-    whole = F.col("frames") <= limit
-    region = F.when(whole, F.lit(None)).when(F.col("at") >= F.col("leader"), F.col("block")).otherwise(F.col("prev_block"))
-    f = f.select("source", F.coalesce(region, F.lit(-1 << 62)).alias("region"), "at", "t", *["x"] * with_frames, (F.coalesce("gap", "first_gap") / F.nullif("usual", F.lit(0.0))).alias("strength"), (F.coalesce("gap", "first_gap").isNull()).alias("opens"))
-
-    fields = [("source", pa.string()), ("region", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("started_at", pa.int64()), ("ended_at", pa.int64()), ("atom_times", pa.list_(pa.int64())), ("atom_strengths", pa.list_(pa.float64())), ("times", pa.list_(pa.int64())), ("cells", pa.list_(pa.float64()))]
-    fields = fields if with_frames else fields[:-2]
-
-    def cut(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = np.argsort(table["at"].to_numpy(), kind="stable")
-        moment = table["at"].to_numpy()[order]
-        strength = table["strength"].to_numpy()[order].astype(float)
-        opens = bool(table["opens"].take(pa.array(order[:1]))[0].as_py())
-        times = table["t"].take(pa.array(order))
-        begins = atoms(strength)
-        told = np.where(np.isnan(strength), 1.0, strength)
-        told[0] = np.inf
-        rank = np.where(told[begins] > WEAK, told[begins], 1.0)
-        heads = merged(np.diff(np.append(begins, len(moment))).tolist(), rank.tolist(), limit, overlap, opens)
-        if opens:
-            strength[0] = np.inf
-        starts = [int(begins[h]) for h in heads]
-        ends = [*starts[1:], len(moment)]
-        cells = table["x"].take(pa.array(order)) if with_frames else None
-        rows = []
-        at_times = times.take(pa.array(begins)).to_pylist()
-        at_strength = [None if np.isnan(s) else s for s in strength[begins].tolist()]
-        for p, (a, e) in enumerate(zip(starts, ends)):
-            h, g = heads[p], heads[p + 1] if p + 1 < len(heads) else len(begins)
-            repeated = a - max(a - overlap, starts[p - 1]) if p else 0
-            row = (key[0].as_py(), key[1].as_py(), p, e - a, int(moment[a]), int(moment[e - 1]), at_times[h:g], at_strength[h:g])
-            rows.append(row + ((times[a - repeated : e].to_pylist(), cells[a - repeated : e].to_pylist()) if with_frames else ()))
-        return pa.Table.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(fields)})
-
-    made = f.groupBy("source", "region").applyInArrow(cut, PIECE if with_frames else PIECE.partition(", times")[0])
+    _checked(limit, overlap)
+    f = _numbered(_frames(df, source, at, time, value, block_seconds), longer_than)
+    made = _merged_pieces(f.drop("x"), limit, overlap)
     if not with_frames:
         return made.withColumnRenamed("source", source)
-    # the first piece of a region takes its overlap from the last piece of the region before
-    of = Window.partitionBy("source", "region")
-    made = made.withColumn("__last", F.max("place").over(of))
-    tails = made.filter(F.col("place") == F.col("__last")).select("source", "region", F.col("started_at").alias("__at"), *[F.slice(c, F.greatest(F.lit(1), F.size(c) - F.least(F.col("n"), F.lit(overlap)).cast("int") + 1), overlap).alias(f"__{c}") for c in ("times", "cells")])
-    nexts = tails.select("source", F.lead("region").over(Window.partitionBy("source").orderBy("__at")).alias("region"), "__times", "__cells").filter(F.col("region").isNotNull()).withColumn("place", F.lit(0).cast("long"))
-    made = made.join(nexts, ["source", "region", "place"], "left")
-    joined = {c: F.when(F.col(f"__{c}").isNotNull(), F.concat(f"__{c}", c)).otherwise(F.col(c)).alias(c) for c in ("times", "cells")}
-    return made.select(F.col("source").alias(source), *[F.col(c) for c in ("region", "place", "n", "started_at", "ended_at", "atom_times", "atom_strengths")], *joined.values())
+    # frames by bucket of places, with those that pieces beginning in it need from either side
+    size = max(BUCKET, limit)
+    own = F.floor(F.col("place") / size)
+    reached = F.sequence(F.floor(F.greatest(F.lit(0), F.col("place") - limit) / size), F.floor((F.col("place") + overlap) / size))
+    f = f.select("source", "place", "t", "x", F.explode(F.when(own > 0, reached).otherwise(F.sequence(own, F.floor((F.col("place") + overlap) / size)))).alias("bucket"))
+    p = made.select(F.col("source").alias("of"), F.floor(F.col("first") / size).alias("ofbucket"), *NAMES)
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(left["place"].to_numpy(), kind="stable")
+        lowest = left["place"].to_numpy()[order[0]] if len(order) else 0
+        first, n = right["first"].to_numpy(), right["n"].to_numpy()
+        repeated = np.minimum(overlap, first)
+        ends = np.cumsum(repeated + n)
+        begins = ends - (repeated + n)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - repeated - lowest - begins, repeated + n)
+        rows, offsets = pa.array(order[taken]), pa.array(np.append(0, ends), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, left[c].take(rows).combine_chunks()) for c in ("t", "x")]
+        return pa.table([right["of"], *[right[c] for c in NAMES], pa.array(repeated, pa.int64()), *lists], ["source", *NAMES, "repeated", "times", "cells"])
+
+    whole = f.groupBy("source", "bucket").cogroup(p.groupBy("of", "ofbucket")).applyInArrow(fill, f"source string, {SEGMENT}, repeated long, times array<long>, cells array<double>")
+    return whole.withColumnRenamed("source", source)
 
 
 def breaks(df: DataFrame, source: str = "recording_id", more_than: float = 20.0, longer_than: int = 400, **columns) -> DataFrame:
-    """(source, boundary_time), without repeats: the atomic boundaries stronger than more_than usual intervals in sources of more than longer_than frames.
+    """(source, boundary_time), without repeats: the breaks stronger than more_than usual intervals in sources of more than longer_than frames.
 
-    A break is always the start of an atomic segment, whether its two sides were merged into one piece or not. Frames of null time give no row.
+    Read from the merged pieces: a break is where two of them meet, or one of those that merging crossed. Frames of null time give no row.
     """
+    if more_than < WEAK:
+        raise ValueError(f"more_than must be {WEAK} at least")
     made = pieces(df, source, with_frames=False, longer_than=longer_than, **columns)
-    found = made.select(source, F.explode(F.arrays_zip("atom_times", "atom_strengths")).alias("a"))
-    strong = (F.col("a.atom_strengths") > more_than) & (F.col("a.atom_strengths") < float("inf")) & F.col("a.atom_times").isNotNull()
-    return found.filter(strong).select(source, F.col("a.atom_times").alias("boundary_time")).distinct()
+    edge = F.array(F.struct(F.col("first_time").alias("t"), F.col("strength").alias("s")))
+    crossed = F.zip_with("break_times", "break_strengths", lambda t, s: F.struct(t.alias("t"), s.alias("s")))
+    found = made.select(source, F.explode(F.concat(edge, crossed)).alias("b")).filter((F.col("b.s") > more_than) & F.col("b.t").isNotNull())
+    return found.select(source, F.col("b.t").alias("boundary_time")).distinct()
+
+
+def piece_sizes(made: DataFrame, source: str = "recording_id", limit: int = 400, overlap: int = 20) -> DataFrame:
+    """(source, frames, own_frames, too_long, short_overlaps, fitting_neighbours) of pieces(): the last three count pieces against the rules, 0 where all is well."""
+    along = Window.partitionBy(source).orderBy("first")
+    most = F.lit(limit) - F.when(F.col("first") == 0, 0).otherwise(overlap)
+    fits = F.coalesce(F.col("n") + F.lead("n").over(along) <= most, F.lit(False))
+    count = lambda c: F.sum(c.cast("long"))
+    s = made.withColumn("__fits", fits)
+    return s.groupBy(source).agg(F.max(F.col("first") + F.col("n")).alias("frames"), F.sum("n").alias("own_frames"), count(F.size("times") > limit).alias("too_long"), count((F.col("repeated") != F.least(F.lit(overlap), F.col("first"))) | (F.size("times") != F.col("n") + F.col("repeated"))).alias("short_overlaps"), count(F.col("__fits")).alias("fitting_neighbours"))
