@@ -3,7 +3,8 @@
 Vectors are brought to one shape (mean taken off, length one), so that the inner product of two is their Pearson correlation. The two halves of a vector
 are quantised separately; a cell is a pair of centroids. A query walks the pairs in order of summed distance, by a heap, until the cells it has passed
 hold enough vectors; these are compared exactly. How many are enough is measured: a sample of the queries is compared with every vector, and the walk goes
-on until it passes the wanted share of their true neighbours. Queries and vectors meet in groups of one first-half centroid, cut to a bounded size on both sides.
+on until it passes the wanted share of their true neighbours. Queries and vectors meet in parts of the index, which hold neighbouring cells and are cut to a bounded size on both
+sides; there only vectors of passed cells are multiplied.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from glimmerframe.session import cut
 
-SAMPLE, MOST_CENTROIDS, LEAST_VISITED, INDEX_ROWS, QUERY_ROWS = 20_000, 1024, 2_500, 20_000, 20_000
-MEASURED, RECALL = 512, 0.95
+SAMPLE, MOST_CENTROIDS, INDEX_ROWS, QUERY_ROWS, LEAST_PARTS, TOGETHER = 20_000, 1024, 100_000, 100_000, 2, 64
+MEASURED, RECALL, MARGIN = 512, 0.95, 2
+SCALE = float(1 << 30)
 
 
 def shapes(values: list[list[float | None] | None], size: int, fill: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +57,9 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         sums, counts = np.zeros_like(c), np.bincount(nearest, minlength=k)
         np.add.at(sums, nearest, x)
         c[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
-    return c
+    # in order along their widest direction, so that near ones have near numbers
+    _, _, axes = np.linalg.svd(c - c.mean(0), full_matrices=False)
+    return c[np.argsort(c @ axes[0], kind="stable")]
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -95,16 +99,27 @@ def best(similar: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-similar, 1, kind="stable")[:, :k]
 
 
-def most_similar(df: DataFrame, id_col: str = "window_id", vec_col: str = "vec", k: int = 5, size: int = 64, fill: bool = False, visited: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """Elements of unit vectors as 32-bit whole numbers (steps of 2^-30): half the bytes of a double, inner products right to about 1e-9."""
+    return np.round(x * SCALE).astype(np.int32)
+
+
+def most_similar(
+    df: DataFrame, id_col: str = "window_id", vec_col: str = "vec", k: int = 5, size: int = 64, fill: bool = False, visited: int | None = None, sample: int = SAMPLE, recall: float = RECALL,
+    least: float = -1.0, margin: float = 1.0,
+) -> DataFrame:
     """(id_col, rank, neighbour, similarity): of every vector with a shape the k with the highest Pearson correlation; equal ones by id.
 
     Without fill only complete vectors of `size` finite, not all equal elements take part; with it gaps (null, not-a-number) are filled linearly from the
     readings around them. Codebooks are fitted on at most `sample` vectors (the first by hash of the id); every vector is indexed and every one is a
-    query. visited: vectors compared per query, by default as many as a sample of MEASURED queries needs to pass the share RECALL of its true neighbours, and
-    at least max(2500, 20 * sqrt(n)). Vectors of one shape (equal to six decimals) are searched once and
+    query. visited: vectors in the cells that a query's walk passes; by default as many as a sample of MEASURED queries needs to pass the share `recall` of its true
+    neighbours of at least the similarity `least`, at every size. Vectors of one shape (equal to six decimals) are searched once and
     share the result, so that any number of copies costs no pairs: a class of copies is represented by its k + 1 least ids, the
-    only ones that can be among anyone's k. Rows of null id are left out; of rows with one id the first by vector counts. An empty table gives an empty
+    only ones that can be among anyone's k. Rows of null id are left out; of rows with one id that of the least hash of its shape counts. An empty table gives an empty
     result; other columns are ignored.
+
+    Each vector is shuffled once to meet its copies, then once to every part of the index that holds a cell of its walk; a part of the index, of bounded size, once for
+    every bounded number of queries that come to it.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
@@ -112,114 +127,129 @@ def most_similar(df: DataFrame, id_col: str = "window_id", vec_col: str = "vec",
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, x = shapes(batch.column(1).to_pylist(), size, fill)
-            flat = pa.array(x.ravel())
+            flat = pa.array(whole_numbers(x).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), flat)], ["id", "x"])
 
-    one = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x")).groupBy("id").agg(F.min("x").alias("x"))
-    units = one.mapInArrow(unit, f"id {kind}, x array<double>")
-    rounded = F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0))
-    units = cut(units.withColumn("a", F.xxhash64(rounded)).withColumn("b", F.hash(rounded)))
-    firsts = units.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).filter(F.col("place") <= k + 1)
-    classes = firsts.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("x", "id").alias("x"), F.sort_array(F.collect_list("id")).alias("members"))
-    classes = cut(classes.withColumn("copies", F.size("members")))
+    given = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
+    units = given.mapInArrow(unit, f"id {kind}, x array<int>")
+    rounded = F.transform("x", lambda v: F.round(v / SCALE, 6) + F.lit(0.0))
+    units = units.select("id", "x", F.xxhash64(rounded).alias("a"), F.hash(rounded).alias("b"))
+    units = cut(units.repartition("a", "b").sortWithinPartitions("a", "b", "id"))
+    own = units.groupBy("id").agg(F.min(F.struct("a", "b")).alias("__c")).select("id", "__c.a", "__c.b")
+    firsts = own.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).filter(F.col("place") <= k + 1)
+    members = firsts.groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    vectors = units.groupBy("a", "b").agg(F.min_by("x", "id").alias("x"))
+    classes = cut(vectors.join(members, ["a", "b"]).withColumn("id", F.get("members", F.lit(0))))
 
     total = classes.count()
     if total == 0:
         return units.select(F.col("id").alias(id_col), F.lit(1).alias("rank"), F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")).limit(0)
     width = min(MOST_CENTROIDS, 1 << max(0, round(math.log2(max(1, math.sqrt(total) / 4)))))
-    enough = visited or max(LEAST_VISITED, int(20 * math.sqrt(total)))
     half = size // 2
-    fit = np.array([r.x for r in classes.select("x").orderBy(F.xxhash64("id"), "id").limit(max(width, sample)).collect()])
+    fit = np.array([r.x for r in classes.select("x").orderBy(F.xxhash64("id"), "id").limit(max(width, sample)).collect()]) / SCALE
     books = spark.sparkContext.broadcast((centroids(fit[:, :half], min(width, len(fit))), centroids(fit[:, half:], min(width, len(fit)))))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(-1, size)
+            x = np.array(batch.column(1).flatten()).reshape(-1, size) / SCALE
             u, v = (np.argmin(distances(h, c), 1).astype(np.int32) for h, c in zip((x[:, :half], x[:, half:]), books.value))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u), pa.array(v)], ["id", "x", "u", "v"])
 
-    index = cut(classes.select("id", "x").mapInArrow(locate, f"id {kind}, x array<double>, u int, v int"))
+    index = cut(classes.select("id", "x").mapInArrow(locate, f"id {kind}, x array<int>, u int, v int"))
     counts = np.zeros((width, width), np.int64)
-    for r in index.groupBy("u", "v").count().collect():  # at most MOST_CENTROIDS squared small rows
-        counts[r.u, r.v] = r["count"]
-    if visited is None and total > LEAST_VISITED:
-        enough = max(enough, _measured(index, books.value, counts, kind, k, size))
-    held = spark.sparkContext.broadcast(counts)
+    for r in index.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("u").agg(F.collect_list("v").alias("v"), F.collect_list("n").alias("n")).collect():  # a row a centroid
+        counts[r.u, r.v] = r.n
+    enough = visited if visited is not None else int(margin * _measured(index, books.value, counts, k, size, recall, least))
+    parts, blocks = (max(min(LEAST_PARTS, total), -(-total // rows)) for rows in (INDEX_ROWS, QUERY_ROWS))
+    begins = np.cumsum(counts).reshape(width, width) - counts
+    held = spark.sparkContext.broadcast((counts, begins * parts // total, (begins + np.maximum(counts, 1) - 1) * parts // total))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, low, high = held.value
         for batch in batches:
-            ids, rows, us, vs = batch.column(0), [], [], []
+            rows, reach, to = [], [], []
             for lo in range(0, batch.num_rows, 1000):
-                x = np.array(batch.column(1).slice(lo, 1000).flatten()).reshape(-1, size)
+                x = np.array(batch.column(1).slice(lo, 1000).flatten()).reshape(-1, size) / SCALE
                 first, second = (distances(h, c) for h, c in zip((x[:, :half], x[:, half:]), books.value))
                 for i in range(len(x)):
-                    cells: dict[int, list[int]] = {}
-                    for u, v in walk(first[i], second[i], held.value, enough):
-                        cells.setdefault(u, []).append(v)
-                    for u, own in cells.items():
-                        rows.append(lo + i)
-                        us.append(u)
-                        vs.append(own)
+                    cells = walk(first[i], second[i], counts, enough)
+                    if cells:
+                        u, v = np.array(cells).T
+                        own = np.unique(np.concatenate([low[u, v], high[u, v], *[np.arange(p + 1, q) for p, q in zip(low[u, v], high[u, v]) if q > p + 1]]))
+                        rows += [lo + i] * len(own)
+                        reach += [first[i, u[-1]] + second[i, v[-1]]] * len(own)
+                        to += own.tolist()
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(us, pa.int32()), pa.array(vs, pa.list_(pa.int32()))], ["q", "y", "u", "vs"])
-
-    probes = cut(index.select("id", "x").mapInArrow(probe, f"q {kind}, y array<double>, u int, vs array<int>"))
-    asked = {r.u: r["count"] for r in probes.groupBy("u").count().collect()}
-    stored = counts.sum(1)
-    # a bounded number of index rows and queries meets in one group: a grid of parts for each first-half centroid
-    parts = F.array(*[F.struct(F.lit(max(1, -(-int(stored[u]) // INDEX_ROWS))).alias("i"), F.lit(max(1, -(-asked.get(u, 0) // QUERY_ROWS))).alias("q")) for u in range(width)])
-    part = lambda name: F.element_at(parts, F.col("u") + 1)[name]
-    left = index.withColumn("si", F.pmod(F.xxhash64("id"), part("i")).cast("int")).withColumn("sq", F.explode(F.sequence(F.lit(0), part("q") - 1)))
-    right = probes.withColumn("sq", F.pmod(F.xxhash64("q"), part("q")).cast("int")).withColumn("si", F.explode(F.sequence(F.lit(0), part("i") - 1)))
-    right = right.select("q", "y", F.col("u").alias("qu"), F.col("si").alias("qsi"), F.col("sq").alias("qsq"), "vs")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(reach, pa.float64()), pa.array(to, pa.int32())], ["q", "y", "reach", "qpart"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, _, _ = held.value
+        for batch in batches:
+            u, v = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            inside = batch.column(4).to_numpy().astype(np.uint64) % counts[u, v].astype(np.uint64)  # a cell may be spread over parts
+            part = (begins[u, v] + inside.astype(np.int64)) * parts // total
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(part.astype(np.int32))], ["id", "x", "u", "v", "part"])
+
+    left = index.withColumn("h", F.xxhash64("id")).mapInArrow(place, f"id {kind}, x array<int>, u int, v int, part int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = index.select("id", "x").mapInArrow(probe, f"q {kind}, y array<int>, reach double, qpart int").withColumn("qblock", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(left["id"]), kind="stable")
-        ids, v = left["id"].take(pa.array(order)), left["v"].to_numpy()[order]
         found: list[pa.Table] = []
         if left.num_rows and right.num_rows:
-            x = np.array(left["x"].combine_chunks().flatten()).reshape(-1, size)[order]
+            order = pa.array(np.argsort(np.array(left["id"]), kind="stable"))  # of equal similarities the least id is first
+            ids, x = left["id"].take(order), left["x"].combine_chunks().take(order)
+            x = np.array(x.flatten()).reshape(-1, size) / SCALE
+            cells, cell = np.unique(left["u"].to_numpy().astype(np.int64)[order] * width + left["v"].to_numpy()[order], return_inverse=True)
             number = {key: i for i, key in enumerate(ids.to_pylist())}
-            for lo in range(0, right.num_rows, 500):
-                some = right.slice(lo, 500)
-                y = np.array(some["y"].combine_chunks().flatten()).reshape(-1, size)
-                allowed = np.zeros((len(y), width), bool)
-                for i, own in enumerate(some["vs"].to_pylist()):
-                    allowed[i, own] = True
-                similar = np.where(allowed[:, v], y @ x.T, -np.inf)
-                for i, key in enumerate(some["q"].to_pylist()):
-                    if key in number:
-                        similar[i, number[key]] = -np.inf
+            y = np.array(right["y"].combine_chunks().flatten()).reshape(-1, size)
+            near = [np.argmin(distances(h / SCALE, c), 1) for h, c in zip((y[:, :half], y[:, half:]), books.value)]
+            reach, names = right["reach"].to_numpy(), right["q"].to_pylist()
+            # queries of one cell walk much alike: they are compared together, with the cells that any of them passes
+            walks = np.lexsort(near[::-1])
+            for lo in range(0, len(walks), TOGETHER):
+                some = walks[lo : lo + TOGETHER]
+                z = y[some] / SCALE
+                first, second = (distances(h, c) for h, c in zip((z[:, :half], z[:, half:]), books.value))
+                passed = first[:, cells // width] + second[:, cells % width] <= reach[some, None] + 1e-9
+                at = np.flatnonzero(passed.any(0)[cell])
+                if not len(at):
+                    continue
+                similar = np.where(passed[:, cell[at]], z @ x[at].T, -np.inf)
+                for i, q in enumerate(some.tolist()):
+                    own = number.get(names[q], -1)
+                    column = np.searchsorted(at, own)
+                    if column < len(at) and at[column] == own:
+                        similar[i, column] = -np.inf
                 top = best(similar, k)
                 value = np.take_along_axis(similar, top, 1)
-                at, place = np.nonzero(value > -np.inf)
-                found.append(pa.table({"q": some["q"].take(pa.array(at)), "n": ids.take(pa.array(top[at, place])), "similarity": value[at, place]}))
+                row, column = np.nonzero(value > -np.inf)
+                found.append(pa.table({"q": right["q"].take(pa.array(some[row])), "n": ids.take(pa.array(at[top[row, column]])), "similarity": value[row, column]}))
         return pa.concat_tables(found) if found else pa.table({"q": left["id"].slice(0, 0), "n": left["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
 
-    near = left.groupBy("u", "si", "sq").cogroup(right.groupBy("qu", "qsi", "qsq")).applyInArrow(compare, f"q {kind}, n {kind}, similarity double")
+    near = left.groupBy("part", "block").cogroup(right.groupBy("qpart", "qblock")).applyInArrow(compare, f"q {kind}, n {kind}, similarity double")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))).filter(F.col("rank") <= k).drop("rank")
 
     # from classes back to vectors
     others = near.join(classes.select(F.col("id").alias("n"), F.col("members").alias("own")), "n").groupBy("q").agg(F.collect_list(F.struct("similarity", "own")).alias("near"))
     lists = classes.select("a", "b", F.col("id").alias("q"), "members").join(others, "q", "left")
-    full = units.select("a", "b", "id").join(lists, ["a", "b"])
+    full = own.join(lists, ["a", "b"])
     copies = F.transform("members", lambda m: F.struct(F.lit(-1.0).alias("s"), m.alias("n")))
-    rest = F.flatten(F.transform(F.coalesce("near", F.array().cast("array<struct<similarity:double,own:array<" + kind + ">>>")), lambda c: F.transform(c["own"], lambda m: F.struct((-F.round(c["similarity"], 12)).alias("s"), m.alias("n")))))
+    rest = F.flatten(F.transform(F.coalesce("near", F.array().cast("array<struct<similarity:double,own:array<" + kind + ">>>")), lambda c: F.transform(c["own"], lambda m: F.struct((-F.round(c["similarity"], 9)).alias("s"), m.alias("n")))))
     ranked = F.slice(F.array_sort(F.filter(F.concat(copies, rest), lambda e: e["n"] != F.col("id"))), 1, k)
     out = full.select(F.col("id").alias(id_col), F.posexplode(ranked).alias("at", "e"))
     return out.select(id_col, (F.col("at") + 1).alias("rank"), F.col("e.n").alias("neighbour"), F.least(F.lit(1.0), -F.col("e.s")).alias("similarity"))
 
 
-def _measured(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, kind: str, k: int, size: int) -> int:
-    """Vectors to compare per query so that the walks of a sample of queries pass the share RECALL of their true neighbours."""
+def _measured(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int, size: int, recall: float, least: float) -> int:
+    """Vectors that the walks of a sample of queries must hold to pass the share recall of their true neighbours of at least that similarity, and `k` where there are none."""
     asked = index.select("id", "x").orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(MEASURED).collect()
-    y = np.array([r.x for r in asked])
+    y = np.array([r.x for r in asked]) / SCALE
     sample = index.sparkSession.sparkContext.broadcast(([r.id for r in asked], y))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, y = sample.value
         for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(-1, size)
+            x = np.array(batch.column(1).flatten()).reshape(-1, size) / SCALE
             similar = y @ x.T
             place = {key: i for i, key in enumerate(batch.column(0).to_pylist())}
             for i, key in enumerate(own):
@@ -227,12 +257,12 @@ def _measured(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np
                     similar[i, place[key]] = -np.inf
             top = best(similar, k)
             value = np.take_along_axis(similar, top, 1)
-            at, rank = np.nonzero(value > -np.inf)
+            at, rank = np.nonzero(value >= max(least, -2.0))
             hits = pa.array(top[at, rank])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(value[at, rank]), *[batch.column(c).take(hits) for c in (0, 2, 3)]], ["q", "similarity", "n", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(value[at, rank]), *[batch.column(c).take(hits) for c in (2, 3)]], ["q", "similarity", "u", "v"])
 
-    true = index.select("id", "x", "u", "v").mapInArrow(compare, f"q int, similarity double, n {kind}, u int, v int")
-    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))).filter(F.col("rank") <= k)
+    true = index.select("id", "x", "u", "v").mapInArrow(compare, "q int, similarity double, u int, v int")
+    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity")))).filter(F.col("rank") <= k)
     half, cells = size // 2, {}
     for r in true.select("q", "u", "v").collect():  # k rows a sampled query
         cells.setdefault(r.q, []).append((r.u, r.v))
@@ -240,11 +270,14 @@ def _measured(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np
     for q, own in cells.items():
         first, second = distances(y[q : q + 1, :half], books[0])[0], distances(y[q : q + 1, half:], books[1])[0]
         passed += [needed(first, second, counts, u, v) for u, v in own]
-    return sorted(passed)[math.ceil(RECALL * len(passed)) - 1]
+    return sorted(passed)[math.ceil(recall * len(passed)) - 1] if passed else k
 
 
 def mutual(df: DataFrame, id_col: str = "window_id", least: float = 0.97, **how) -> DataFrame:
-    """(window_a, window_b), window_a < window_b: pairs of at least this correlation, each among the other's k most similar."""
-    near = most_similar(df, id_col, **how).filter(F.col("similarity") >= least)
+    """(window_a, window_b), window_a < window_b: pairs of at least this correlation, each among the other's k most similar.
+
+    By default walks are MARGIN times as wide as any sampled query needs for its neighbours of this correlation.
+    """
+    near = most_similar(df, id_col, **({"recall": 1.0, "least": least, "margin": MARGIN} | how)).filter(F.col("similarity") >= least)
     pairs = near.select(F.least(id_col, "neighbour").alias("window_a"), F.greatest(id_col, "neighbour").alias("window_b"))
     return pairs.groupBy("window_a", "window_b").count().filter(F.col("count") == 2).drop("count")

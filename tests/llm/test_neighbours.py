@@ -37,7 +37,7 @@ def test_small_collections_are_exact_with_copies_and_gaps(spark):
     rows += [(200, [None, *x[5].tolist()[1:]]), (201, [float("nan"), *x[6].tolist()[1:]]), (202, [1.0] * 64), (203, None), (204, []), (205, [float("inf"), *[0.0] * 63])]
     for fill in (False, True):
         got = {}
-        for r in sorted(N.most_similar(frame(spark, rows), fill=fill).collect(), key=lambda r: r.rank):
+        for r in sorted(N.most_similar(frame(spark, rows), fill=fill, recall=1.0).collect(), key=lambda r: r.rank):
             got.setdefault(r.window_id, []).append((r.neighbour, r.similarity))
         want = brute(rows, fill=fill)
         assert set(got) == set(want) and (200 in got) == (201 in got) == fill
@@ -63,6 +63,7 @@ def test_odd_tables(spark):
 
 def test_grid_of_parts_changes_nothing(spark, monkeypatch):
     rows = [(i + 1, v.tolist()) for i, v in enumerate(walks(200, 9))]
+    rows += [(1000 + i, (np.arange(64.0) ** 2 + 1e-3 * r).tolist()) for i, r in enumerate(np.random.default_rng(1).normal(size=(90, 64)))]  # one crowded cell
     whole = sorted(map(tuple, N.most_similar(frame(spark, rows)).select("window_id", "rank", "neighbour").collect()))
     monkeypatch.setattr(N, "INDEX_ROWS", 7)
     monkeypatch.setattr(N, "QUERY_ROWS", 11)

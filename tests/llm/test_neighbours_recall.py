@@ -3,8 +3,7 @@ import numpy as np
 from glimmerframe.llm import neighbours as N
 
 
-def test_walk_is_widened_until_true_neighbours_are_found(spark, monkeypatch):
-    monkeypatch.setattr(N, "LEAST_VISITED", 100)
+def test_walk_is_widened_until_true_neighbours_are_found(spark):
     x = np.random.default_rng(4).normal(size=(3000, 64))  # noise: halves tell little, so the walk must be wide
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "window_id long, vec array<double>")
     _, u = N.shapes(x.tolist(), 64, False)
