@@ -40,12 +40,15 @@ def repair(text: str) -> str:
 # Characters that scanners and wrong encodings confuse, each with the form that stands for its group.
 LOOKS = {"1": "i", "|": "i", "l": "i", "!": "i", "0": "o", "5": "s", "$": "s", "8": "b", "e": "c", "h": "ii", "u": "ii", "m": "rn", "w": "vv", "d": "ci", "ɑ": "a", "α": "a", "а": "a", "е": "c", "о": "o", "і": "i", "ı": "i", "ł": "i", "ø": "o", "ß": "ss", "æ": "ac", "œ": "oc", "ƒ": "f"}
 LOST = "�"
+WIDE, LONG = [x for x in {v for v in LOOKS.values() if len(v) == 2} if x not in ("ss", "ac", "oc")], 8
 FOLD = str.maketrans(LOOKS)
+# What ¿ and ¡ become when read as Latin-2 or Cyrillic; as first letters they do not count.
+TURNED = "żĄїЎ"
 
 
 def skeleton(word: str) -> str:
     """What is left of a word without case, accents, punctuation and the difference between look-alike characters; '' if nothing is."""
-    plain = unicodedata.normalize("NFKD", word.casefold())
+    plain = unicodedata.normalize("NFKD", (word[1:] if word[:1] in TURNED else word).casefold())
     if not any(c.isalnum() or c == LOST for c in plain):
         return ""
     core = plain.strip("!|$") if plain[0] in "!|$" or plain[-1] in "!|$" else plain
@@ -74,7 +77,7 @@ def spoken(text: str) -> list[str]:
 
 
 def same(a: str, b: str) -> bool:
-    """Whether two skeletons stand for one word: equal, equal but for lost characters, or one misread character in a long word."""
+    """Whether two skeletons stand for one word: equal, equal but for lost characters, or one character apart in words of LONG letters and more."""
     if a == b:
         return True
     if LOST in a or LOST in b:
@@ -82,7 +85,12 @@ def same(a: str, b: str) -> bool:
         if LOST in b:
             return a.replace(LOST, "") == b.replace(LOST, "")
         return re.fullmatch(".{0,3}".join(map(re.escape, re.split(LOST + "+", a))), b) is not None
-    return abs(len(a) - len(b)) <= 1 and min(len(a), len(b)) >= 6 and _one_edit(a, b)
+    return abs(len(a) - len(b)) <= 1 and min(_letters(a), _letters(b)) >= LONG and _one_edit(a, b)
+
+
+def _letters(skeleton: str) -> int:
+    """The letters of a word before wide ones were written as two."""
+    return len(skeleton) - sum(map(skeleton.count, WIDE))
 
 
 def _one_edit(a: str, b: str) -> bool:

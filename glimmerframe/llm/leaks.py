@@ -7,11 +7,13 @@ character changes of misreading and wrong encoding, until the longest common run
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from glimmerframe.llm import cues
@@ -55,13 +57,10 @@ def seeds(codes: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """A block of passages with their seeds, sorted by hash, and a bit table that passes few other hashes."""
 
-    def __init__(self, rows: list[tuple[int, str]], least: int):
+    def __init__(self, rows: list[tuple[int, list[str]]]):
         codes = Codes()
         self.ids, self.bones, self.codes, found = [], [], [], []
-        for item, passage in rows:
-            words = [w for w in cues.spoken(passage or "") if codes[w]]
-            if len(words) < least:
-                continue
+        for item, words in rows:
             array = np.array([codes[w] for w in words], np.uint64)
             for m, mask in enumerate(MASKS):
                 h = seeds(array, mask)
@@ -124,23 +123,65 @@ def found_in(texts: list[str], items: Items, codes: Codes, least: int) -> Iterat
             yield text, item
 
 
+def segments(passage: str, codes: Codes, least: int, most: int) -> Iterator[list[str]]:
+    """The words of a passage in stretches of at most `most`, each with the least - 1 words before it, so that every run of least words lies in one of them."""
+    words = [w for w in cues.spoken(passage) if codes[w]]
+    step = max(1, most - least + 1)
+    for a in range(0, max(1, len(words) - least + 1), step):
+        if len(words) - a >= least:
+            yield words[a : a + step + least - 1]
+
+
+def blocks(items: DataFrame, item_col: str, passage_col: str, least: int, most: int) -> Iterator[bytes]:
+    """Indexes of all passages, built in tasks, each of at most `most` words, one at a time."""
+    kind = f"`{item_col}` {items.schema[item_col].dataType.simpleString()}"
+    known = items.filter(items[passage_col].isNotNull() & items[item_col].isNotNull()).select(item_col, items[passage_col].cast("string"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            found = [(i, words) for i, passage in enumerate(batch.column(1).to_pylist()) for words in segments(passage, codes, least, most)]
+            taken = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, pa.array([w for _, w in found], pa.list_(pa.string())), pa.array([len(w) for _, w in found], pa.int64())], [item_col, "words", "n"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"block": [pickle.dumps(Items(rows))]})
+
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if rows and held + len(words) > most:
+                    yield made()
+                    rows, held = [], 0
+                rows.append((item, words))
+                held += len(words)
+        if rows:
+            yield made()
+
+    words = known.mapInArrow(cut, f"{kind}, words array<string>, n long")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    for row in words.repartition(max(1, -(-total // most))).mapInArrow(index, "block binary").toLocalIterator():
+        yield row.block
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 12, block_words: int = 400_000) -> DataFrame:
     """(id_col, item_col), without repeats: texts that hold at least least_words consecutive words of a passage.
 
-    Passages are the small, held-out side. They are taken in blocks of at most block_words words (about 60 MB broadcast), each block joined with all
-    texts by seed hash, so what is broadcast has a bound and any number of passages is handled; the texts are never shuffled. Null and empty
-    texts and passages, and passages of fewer than least_words words, are never part of a leak; repeated rows give one result row; empty tables
+    Passages are the small, held-out side. They are indexed in blocks of at most block_words words (about 60 MB broadcast; longer passages are cut with an overlap, and words are counted as they are
+    compared), each block joined with all texts by seed hash, so what is broadcast has a bound and any number of passages is handled, with one scan of the texts a block; the texts are never
+    shuffled. Null and empty texts and passages, and passages of fewer than least_words words, are never part of a leak; repeated rows give one result row; empty tables
     give an empty result; other columns are ignored. Very long texts are searched whole.
     """
     kinds = f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, `{item_col}` {items.schema[item_col].dataType.simpleString()}"
     sc = documents.sparkSession.sparkContext
     item_type = to_arrow_type(items.schema[item_col].dataType)
     texts = documents.select(id_col, documents[text_col].cast("string").alias("__text"))
-    known = items.filter(items[passage_col].isNotNull() & items[item_col].isNotNull()).select(item_col, passage_col)
 
     def over(block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, codes = block.value, Codes()
+            held, codes = pickle.loads(block.value), Codes()
             for batch in batches:
                 ids = batch.column(0)
                 column = batch.column(1).to_pylist()
@@ -157,16 +198,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
         return texts.mapInArrow(run, kinds)
 
-    parts, rows, words = [], [], 0
-    for item, passage in known.toLocalIterator():  # one partition of the held-out side at a time
-        rows.append((item, passage))
-        words += passage.count(" ") + 1
-        if words >= block_words:
-            parts.append(over(sc.broadcast(Items(rows, least_words))))
-            rows, words = [], 0
-    if rows or not parts:
-        parts.append(over(sc.broadcast(Items(rows, least_words))))
-    result = parts[0]
+    parts = [over(sc.broadcast(index)) for index in blocks(items, item_col, passage_col, least_words, max(block_words, 2 * least_words))]
+    result = parts[0] if parts else texts.limit(0).mapInArrow(lambda batches: iter(()), kinds)
     for part in parts[1:]:
         result = result.unionByName(part)
     return result.distinct()

@@ -48,6 +48,23 @@ def test_blocks_give_the_same_as_one_block_and_as_brute_force(spark):
     assert want and found(spark, texts, passages) == want == found(spark, texts, passages, block_words=50)
 
 
+def test_long_passages_are_cut_by_the_words_that_are_compared(spark):
+    passage = "\n".join(f"[x] {a}{b}" for a in "ka lo mi nu pe ra so tu".split() for b in "dan fel gor hab jin kol".split())  # no blank between words
+    words = [w for w in passage.split() if w != "[x]"]
+    codes = leaks.Codes()
+    parts = list(leaks.segments(passage, codes, 12, 20))
+    assert all(12 <= len(p) <= 20 for p in parts) and {tuple(words[i : i + 12]) for i in range(37)} == {tuple(p[i : i + 12]) for p in parts for i in range(len(p) - 11)}
+    assert list(leaks.segments("one\t" * 400_001, codes, 12, 400_000))[0] == ["one"] * 400_000
+    assert found(spark, [" ".join(words[7:19]), " ".join(words[7:18])], [passage, " ".join(words[30:])], block_words=24) == [(0, 0)]
+
+
+def test_only_long_words_may_differ_by_a_character():
+    for a, b in (("mother", "another"), ("friends", "friend"), ("house", "mouse"), ("nothing", "noting")):
+        assert not cues.same(cues.skeleton(a), cues.skeleton(b))
+    for a, b in (("farmhouse", "farrnhcuse"), ("żDónde", "¿Dónde"), ("ni�o", "niño")):
+        assert cues.same(cues.skeleton(a), cues.skeleton(b))
+
+
 def test_empty_tables_and_long_text(spark):
     assert found(spark, ["filler " * 200_000 + PASSAGE], [PASSAGE]) == [(0, 0)]
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, passage string")
