@@ -9,7 +9,7 @@ import unicodedata
 TIMES = r"(?m:^[ \t﻿]*(?:\d+[ \t]*\r?\n[ \t]*)?\d[\d:.,]*[ \t]*-->[^\n]*$)|(?m:^﻿?WEBVTT[^\n]*$)"
 FORMATS = r"</?(?:i|b|u|s|c|v|br|p|div|span|font|ruby|rt|html|head|title|body|h\d|noscript)\b[^<>\n]{0,200}>|\{\\[^{}\n]{0,80}\}"
 SOUNDS = r"\[[^\[\]]{0,100}\]|\([^()]{0,100}\)|(?<!\S)\*[^*\n]{1,60}\*(?!\S)"
-MARKS = re.compile(f"{TIMES}|{FORMATS}")
+TIME, FORMAT = re.compile(TIMES), re.compile(FORMATS)
 ALL_MARKUP = re.compile(TIMES + r"|<[^<>]{0,200}>|\{[^{}]{0,100}\}|" + SOUNDS)
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 SUSPECT = re.compile("[Â-ôĂĹГР][\u0080-¿ŒœŠšŸŽžƒˆ˜‐-›€™]+")
