@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from glimmerframe.llm import cues
 
-# Labelled exemplars. "#" is any number, "%name%" a name between marks; "**" a slot of any words up to 40, "*" of up to 6, "@" of one to five with a FIELDS word, "~" of three
+# Labelled exemplars. "#" is any number, "%name%" a name between marks; "**" a slot of any words up to 40, "*" of up to 6, "@" of one to five with a FIELDS word, "~" of four
 # words, after or before, of which two are rare in the corpus. Brackets of template languages are terms of their own; "todo:" and "fixme:" count at the start of a cue, of a sentence, or capitalised of a line.
 FRAMES = ["{{ ** }}", "{% ** %}", "{$ ** }", "${ ** }", "#{ ** }", "<% ** %>", "<< * >>", "@@ * @@", "&& * &&", "__ * __", "[[ ** ]]", "< insert * >", "[ your @ ]", "[ insert @ ]", "[ enter @ ]", "[ add @ ]", "[ type @ ]", "< your @ >", "lorem ~"]
 PLACEHOLDERS = ["%name%", "[ sample cue # ]", "todo:", "fixme:", "line # text", "caption # goes here", "subtitle # goes here", "untranslated line # fill in later", "dummy line #", "placeholder line", "placeholder text", "type your caption here", "replace this text", "sample subtitle text replace before release", "hier steht später der untertitel", "hier kommt der untertitel", "hier text einfügen", "platzhalter text", "texte provisoire à remplacer", "texte à remplacer", "insérer le texte ici", "texto de ejemplo sustituir", "texto provisional sustituir", "insertar texto aquí", "testo di esempio da sostituire", "inserire testo qui", "insira o texto aqui", "tekst tijdelijk vervangen", "wstaw tekst tutaj", "вставьте текст здесь", "ここにテキストを入力", "ここに字幕を入力", "在此输入文本", "여기에 텍스트를 입력"]
@@ -38,7 +38,7 @@ THRESHOLD, COMMON = 0.72, 0.01
 CJK = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 TOKEN = re.compile(rf"\{{\{{|\}}\}}|\{{%|%\}}|[$#]\{{|\{{\$|<%|%>|<<|>>|@@|&&|(?<![^\W_])__|__(?![^\W_])|(?<=\x02)(?i:(?:todo|fixme)\s*:)|%[^\W\d_][\w.-]*%|\$[^\W\d_][\w.-]*\$|(?<![{{$#])\{{[^\W\d_][\w.-]+\}}(?!\}})|[\[\]<>}}]|[{CJK}]|(?:(?![{CJK}])[^\W_])+(?:['’](?:(?![{CJK}])[^\W_])+)*")
 NAMED = re.compile(r"[%$].+[%$]$|\{[^{}%$]+\}$")
-TASK = re.compile(r"(?:\A|(?<=[\x02.!?…>}\])»\"-]))\s*(?=(?i:todo|fixme)\s*:)|[\r\n]\s*(?=(?:TODO|ToDo|Todo|FIXME|Fixme)\s*:)")
+TASK = re.compile(r"(?:\A|(?<=[\x02.!?…>}\])»*\"-]))\s*(?=(?i:todo|fixme)\s*:)|[\r\n]\s*(?=(?:TODO|ToDo|Todo|FIXME|Fixme)\s*:)")
 
 
 def exemplars() -> list[str]:
@@ -136,7 +136,7 @@ class Index:
 
     def _fills(self, terms: list[str], start: int, slot: str, after: tuple[str, ...]) -> bool:
         if slot == "~":
-            return any(sum(t not in self.common and t[:1].isalnum() for t in around) >= 2 for around in (terms[start : start + 3], terms[max(0, start - 4) : max(0, start - 1)]))
+            return any(sum(t not in self.common and t[:1].isalnum() for t in around) >= 2 for around in (terms[start : start + 4], terms[max(0, start - 5) : max(0, start - 1)]))
         for end in range(start, min(len(terms) - len(after), start + SLOTS[slot]) + 1):
             if tuple(terms[end : end + len(after)]) == after:
                 return slot != "@" or not self.fields.isdisjoint(terms[start:end])
