@@ -133,11 +133,12 @@ def find_implausible(
         return pa.table(dict(zip(["source", "block", "open_left", "open_right", "n", "times"], columns)), pa.schema([("source", pa.string()), ("block", pa.int64()), ("open_left", pa.bool_()), ("open_right", pa.bool_()), ("n", pa.int64()), ("times", pa.list_(pa.int64()))]))
 
     judged = blocks.groupBy("source", "block").cogroup(about.groupBy("about_source", "about_block")).applyInArrow(judge, schema)
-    # closed rows carry whole cases; open ones are parts of stretches that go on in the next block that has readings
-    along = Window.partitionBy("source").orderBy("block", F.col("open_left").desc())
+    # closed rows carry whole cases and stay apart by block; open ones are parts of stretches that go on in the next block that has readings
     closed = ~F.col("open_left") & ~F.col("open_right")
-    parts = judged.withColumn("closed", closed).withColumn("stretch", F.sum(F.when(F.col("closed") | F.col("open_left"), 0).otherwise(1)).over(along))
-    whole = F.sum("n").over(Window.partitionBy("source", "stretch", "closed"))
-    kept = parts.withColumn("held", whole).filter(F.col("closed") | (F.col("held") >= stuck))
+    parts = judged.withColumn("lane", F.when(closed, F.col("block")))
+    along = Window.partitionBy("source", "lane").orderBy("block", F.col("open_left").desc())
+    parts = parts.withColumn("stretch", F.sum(F.when(F.col("open_left"), 0).otherwise(1)).over(along))
+    whole = F.sum("n").over(Window.partitionBy("source", "lane", "stretch"))
+    kept = parts.withColumn("held", whole).filter(F.col("lane").isNotNull() | (F.col("held") >= stuck))
     found = kept.select(F.col("source").alias(source), F.explode("times").alias("frame_time"))
     return found.filter(F.col("frame_time").isNotNull()).distinct()

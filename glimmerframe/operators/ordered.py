@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_SECONDS = 600
+BLOCK_SECONDS, STRETCH = 600, 1000
 
 
 def micros(at: str) -> Column:
@@ -33,11 +33,25 @@ def one_per_moment(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def edges(rows: DataFrame, fields: list[str], k: int) -> DataFrame:
-    """(source, block, before, after): up to k rows before the block's first and after its last, nearest first, as arrays of structs of fields."""
+    """(source, block, before, after): up to k rows before the block's first and after its last, nearest first, as arrays of structs of fields.
+
+    In two levels: blocks look along their stretch of STRETCH blocks, stretches along their source, so that one task sees a source's stretches at most.
+    """
     inside = Window.partitionBy("source", "block").orderBy("at")
-    rows = rows.select("source", "block", "at", F.struct("at", *fields).alias("__s"), F.row_number().over(inside).alias("__rn"), F.count("*").over(Window.partitionBy("source", "block")).alias("__n"))
+    rows = rows.select("source", "block", F.struct("at", *fields).alias("__s"), F.row_number().over(inside).alias("__rn"), F.count("*").over(Window.partitionBy("source", "block")).alias("__n"))
     ends = rows.filter((F.col("__rn") <= k) | (F.col("__rn") > F.col("__n") - k))
-    along = Window.partitionBy("source").orderBy("at")
-    near = lambda step: F.filter(F.array(*[step("__s", i).over(along) for i in range(1, k + 1)]), lambda s: s.isNotNull())
-    ends = ends.select("source", "block", "__rn", "__n", near(F.lag).alias("__before"), near(F.lead).alias("__after"))
-    return ends.groupBy("source", "block").agg(F.max(F.when(F.col("__rn") == 1, F.col("__before"))).alias("before"), F.max(F.when(F.col("__rn") == F.col("__n"), F.col("__after"))).alias("after"))
+    some = lambda c: F.collect_list(F.when(c, F.col("__s")))
+    b = ends.groupBy("source", "block").agg(F.sort_array(some(F.col("__rn") <= k)).alias("first"), F.sort_array(some(F.col("__rn") > F.col("__n") - k), False).alias("last"))
+    b = b.withColumn("stretch", F.floor(F.col("block") / STRETCH))
+
+    def along(units: DataFrame, keys: list[str], order: str) -> DataFrame:
+        by = Window.partitionBy(*keys).orderBy(order)
+        none = F.slice("first", 1, 0)
+        near = lambda step, c: F.slice(F.flatten(F.array(*[F.coalesce(step(c, i).over(by), none) for i in range(1, k + 1)])), 1, k)
+        return units.withColumn("before", near(F.lag, "last")).withColumn("after", near(F.lead, "first"))
+
+    b = along(b, ["source", "stretch"], "block")
+    whole = lambda own, more: F.slice(F.concat(own, more), 1, k)
+    s = b.groupBy("source", "stretch").agg(F.min_by(whole("first", "after"), "block").alias("first"), F.max_by(whole("last", "before"), "block").alias("last"))
+    s = along(s, ["source"], "stretch").select("source", "stretch", F.col("before").alias("__b"), F.col("after").alias("__a"))
+    return b.join(s, ["source", "stretch"]).select("source", "block", whole("before", "__b").alias("before"), whole("after", "__a").alias("after"))

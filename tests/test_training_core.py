@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glimmerframe.functions.quantiles import exact_quantile
-from glimmerframe.operators import implausible, profile
+from glimmerframe.operators import implausible, ordered, profile
 
 SECOND = 1_000_000
 
@@ -46,25 +46,26 @@ def brute(x, lo, hi):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 60, 100_000])
-def test_implausible_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, stretch", [(7, 1000), (7, 3), (3, 1), (60, 2), (100_000, 1000)])
+def test_implausible_against_brute_force(spark, monkeypatch, block, stretch):
+    monkeypatch.setattr(ordered, "STRETCH", stretch)
     r = random.Random(7)
     rows, want = [], set()
     for source in ("a", "b", "c", "d"):
         x, level = [], 10.0
-        for _ in range(400):
+        for _ in range(1200 if source == "a" else 400):  # half of all rows are of one source
             level += r.gauss(0, 0.1)
             x.append(round(level + r.gauss(0, 0.05), 4))
         for _ in range(12):
-            i = r.randrange(2, 380)
-            kind = r.randrange(6)
+            i = r.randrange(2, len(x) - 20)
+            kind = r.randrange(6) if None not in x[i : i + 2] else 2
             if kind == 0:
                 x[i] += r.choice([-1, 1]) * 8
             elif kind == 1:
                 x[i], x[i + 1] = x[i] + 6, x[i] + 7
             elif kind == 2:
                 x[i : i + r.randint(10, 40)] = [x[i]] * r.randint(10, 40)
-                x = x[:400]
+                x = x[: 1200 if source == "a" else 400]
             elif kind == 3:
                 x[i] = r.choice([float("nan"), float("inf"), -float("inf"), -3.0, 99.0])
             else:
