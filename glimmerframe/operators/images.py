@@ -65,16 +65,29 @@ def median_filter(px: DataFrame, window: int = 3) -> DataFrame:
     return around(px, window, F.get(F.array_sort(padded), F.lit(window * window // 2)).alias("__m")).withColumn("value", F.col("__m")).drop("__m")
 
 
+def window_sums(px: DataFrame, window: int, **values: Column) -> DataFrame:
+    """px with sums of the named values over the window x window neighbourhood, and __n, the pixels in it: first along rows, then along columns, 2 * window rows a pixel instead of window ** 2."""
+    h = window // 2
+    sums = px.select(*KEYS, *[v.alias(n) for n, v in values.items()], F.lit(1).alias("__n"))
+    for along, other in (("r", "c"), ("c", "r")):
+        sent = sums.withColumn(along, F.explode(F.sequence(F.col(along) - h, F.col(along) + h)))
+        sums = sent.groupBy("frame", other, along).agg(*[F.sum(n).alias(n) for n in (*values, "__n")])
+    return px.join(sums, KEYS)
+
+
 def local_threshold(px: DataFrame, window: int = 15, offset: float = 0.05) -> DataFrame:
     """1 where a pixel exceeds the zero-padded window's mean less offset, else 0."""
-    a = around(px, window, (F.sum("v") / (window * window)).alias("__m"))
-    return a.withColumn("value", (F.col("value") > F.col("__m") - offset).cast("double")).drop("__m")
+    a = window_sums(px, window, __s=F.col("value"))
+    return a.withColumn("value", (F.col("value") > F.col("__s") / (window * window) - offset).cast("double")).drop("__s", "__n")
 
 
 def adaptive_threshold(px: DataFrame, window: int = 15, factor: float = 0.1) -> DataFrame:
-    """1 where a pixel exceeds the mean less factor sds of its window cut at the frame, else 0."""
-    a = around(px, window, F.avg("v").alias("__m"), F.stddev_samp("v").alias("__s"))
-    return a.withColumn("value", F.coalesce((F.col("value") > F.col("__m") - factor * F.col("__s")).cast("double"), F.lit(0.0))).drop("__m", "__s")
+    """1 where a pixel exceeds the mean less factor sds of its window cut at the frame, else 0. Values are taken relative to the frame's mean, so that squares lose no digits."""
+    x = px.join(px.groupBy("frame").agg(F.avg("value").alias("__m")), "frame").withColumn("__d", F.col("value") - F.col("__m"))
+    a = window_sums(x, window, __s=F.col("__d"), __q=F.col("__d") * F.col("__d"))
+    mean = F.col("__s") / F.col("__n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("__q") - mean * F.col("__s"), F.nullif(F.col("__n") - 1, F.lit(0)))))
+    return a.withColumn("value", F.coalesce((F.col("__d") > mean - factor * sd).cast("double"), F.lit(0.0))).drop("__m", "__d", "__s", "__q", "__n")
 
 
 def quantile_threshold(px: DataFrame, q: float = 0.8) -> DataFrame:
@@ -84,12 +97,12 @@ def quantile_threshold(px: DataFrame, q: float = 0.8) -> DataFrame:
 
 def erode(px: DataFrame, window: int = 3) -> DataFrame:
     """1 where the whole zero-padded window is 1."""
-    return around(px, window, F.sum("v").alias("__s")).withColumn("value", (F.col("__s") == window * window).cast("double")).drop("__s")
+    return window_sums(px, window, __s=F.col("value")).withColumn("value", (F.col("__s") == window * window).cast("double")).drop("__s", "__n")
 
 
 def dilate(px: DataFrame, window: int = 3) -> DataFrame:
-    """1 where any pixel of the window is 1."""
-    return around(px, window, F.max("v").alias("__s")).withColumn("value", (F.col("__s") > 0).cast("double")).drop("__s")
+    """1 where any pixel of the window is above 0."""
+    return window_sums(px, window, __s=(F.col("value") > 0).cast("int")).withColumn("value", (F.col("__s") > 0).cast("double")).drop("__s", "__n")
 
 
 def opening(px: DataFrame, window: int = 3) -> DataFrame:
@@ -111,7 +124,7 @@ def sobel(px: DataFrame) -> DataFrame:
     return a.withColumn("value", F.sqrt(F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y"))).drop("__x", "__y")
 
 
-def components(px: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(px: DataFrame) -> DataFrame:
     """(frame, r, c, label): 4-connected regions of pixels above 0, labelled by their least r * 1000000 + c.
 
     Each round every region takes the least label that touches any of its pixels, as a whole, until nothing changes.
@@ -120,7 +133,7 @@ def components(px: DataFrame, most_rounds: int = 64) -> DataFrame:
     code = F.col("r") * 1_000_000 + F.col("c")
     labels = cut(on.withColumn("label", code.cast("long")))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0), (0, 0))])
-    for _ in range(most_rounds):
+    while True:
         sent = labels.select("frame", "r", "c", "label", F.explode(steps).alias("s")).select("frame", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), "label")
         best = sent.groupBy(*KEYS).agg(F.min("label").alias("low"))
         near = labels.join(best, KEYS)
@@ -129,11 +142,9 @@ def components(px: DataFrame, most_rounds: int = 64) -> DataFrame:
             onward = lowest.select("frame", F.col("label").alias("new"), F.col("new").alias("far"))
             lowest = lowest.join(onward, ["frame", "new"]).select("frame", "label", F.col("far").alias("new"))
         new = cut(labels.join(lowest, ["frame", "label"]))
-        changed = new.filter(F.col("new") < F.col("label")).head(1)
         labels = new.select(*KEYS, F.col("new").alias("label"))
-        if not changed:
-            break
-    return labels
+        if not new.filter(F.col("new") < F.col("label")).head(1):
+            return labels
 
 
 def remove_small(labels: DataFrame, least: int) -> DataFrame:

@@ -213,15 +213,24 @@ def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reached.groupBy(F.col("src").alias("node")).agg(F.try_divide(F.lit(1.0), F.nullif(F.avg("d"), F.lit(0.0))).alias("closeness"))
 
 
-def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): synchronous label propagation by summed |w|, ties and starts by the least label; a fixed number of rounds."""
+def label_propagation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, community): synchronous label propagation by summed |w|, starts and ties by the least label, until nothing changes.
+
+    Where labels swing between two states (two sides of a bipartite part), each node takes the lesser of its two and rounds go on; labels only fall then, so this ends.
+    """
     both = both_ways(edges).select("src", "dst", F.abs("w").alias("w"))
-    labels = cut(nodes.withColumn("community", F.col("node")))
-    for _ in range(rounds):
+    labels = cut(nodes.select("node", F.col("node").alias("community"), F.lit(None).cast(nodes.schema["node"].dataType).alias("before")))
+    swung = False
+    while True:
         votes = both.join(labels.select(F.col("node").alias("src"), "community"), "src").groupBy(F.col("dst").alias("node"), "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("new"))
-        labels = cut(labels.join(best, "node", "left").select("node", F.coalesce("new", "community").alias("community")))
-    return labels
+        new = F.coalesce("new", "community")
+        new = F.least(new, "community") if swung else new
+        labels = cut(labels.join(best, "node", "left").select("node", new.alias("community"), F.col("community").alias("before"), F.col("before").alias("earlier")))
+        changed, since = labels.agg(F.sum((F.col("community") != F.col("before")).cast("int")), F.sum((~F.col("community").eqNullSafe(F.col("earlier"))).cast("int"))).first()
+        if not changed:
+            return labels.select("node", "community")
+        swung = swung or not since
 
 
 def windows(df: DataFrame, size: int = 50, step: int = 10) -> DataFrame:

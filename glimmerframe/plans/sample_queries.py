@@ -150,14 +150,14 @@ def median3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(I.median_filter(pixels(spark, sf_dir)))
 
 
-@register("local_threshold", f"{P} {near('pixels', 2, '(any_value(a.value) > sum(b.value) / 25 - 0.05)::INT::DOUBLE')}")
+@register("local_threshold", f"{P} {near('pixels', 7, '(any_value(a.value) > sum(b.value) / 225 - 0.05)::INT::DOUBLE')}")
 def local_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(I.local_threshold(pixels(spark, sf_dir), 5))
+    return shown(I.local_threshold(pixels(spark, sf_dir)))
 
 
-@register("adaptive_threshold", f"{P} {near('pixels', 2, '(any_value(a.value) > avg(b.value) - 0.1 * stddev_samp(b.value))::INT::DOUBLE')}")
+@register("adaptive_threshold", f"{P} {near('pixels', 7, '(any_value(a.value) > avg(b.value) - 0.1 * stddev_samp(b.value))::INT::DOUBLE')}")
 def adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(I.adaptive_threshold(pixels(spark, sf_dir), 5))
+    return shown(I.adaptive_threshold(pixels(spark, sf_dir)))
 
 
 @register("quantile_threshold", f"{P} SELECT frame, r, c, (value > quantile_cont(value, 0.8) OVER (PARTITION BY frame))::INT::DOUBLE AS value FROM pixels")

@@ -165,23 +165,27 @@ def validate_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.validate(traces(spark, sf_dir))
 
 
-def by_frame(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
-    wide = spark.read.parquet(f"{sf_dir}/raw_df.parquet").filter(F.col("Time").between(1, last))
+LONG = "SELECT Time AS t, UNNEST(['Cell_1', 'Cell_2', 'Cell_3', 'Cell_4', 'Cell_5']) AS cell, UNNEST([Cell_1, Cell_2, Cell_3, Cell_4, Cell_5]) AS value FROM raw_df WHERE Time BETWEEN 1 AND 1000000000"
+
+
+@register("wide_to_long", f"SELECT cell, t, count(*) AS n, round(sum(value), 6) AS total FROM ({LONG}) WHERE isfinite(value) GROUP BY ALL")
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = spark.read.parquet(f"{sf_dir}/raw_df.parquet").filter(F.col("Time").between(1, 1_000_000_000))
     long = T.long_from_wide(wide, "Time").filter(F.abs("value") < float("inf"))
     return long.groupBy("cell", "t").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@register("wide_to_long", "SELECT cell, t, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT Time AS t, UNNEST(['Cell_1', 'Cell_2', 'Cell_3', 'Cell_4', 'Cell_5']) AS cell, UNNEST([Cell_1, Cell_2, Cell_3, Cell_4, Cell_5]) AS value FROM raw_df WHERE Time BETWEEN 1 AND 100) WHERE isfinite(value) GROUP BY ALL")
-def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_frame(spark, sf_dir, 100)
+@register("qc_left_out", "SELECT recording_id AS cell, count(*) FILTER (Time IS NULL OR Time NOT BETWEEN 1 AND 1000000000) AS bad_frame_numbers, count(*) FILTER (NOT isfinite(Cell_1)) AS bad_readings FROM raw_df GROUP BY 1")
+def qc_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other queries of this module leave out: rows whose Time is no frame number, and readings that are no finite number."""
+    x = spark.read.parquet(f"{sf_dir}/raw_df.parquet")
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return x.groupBy(F.col("recording_id").alias("cell")).agg(count(~F.coalesce(F.col("Time").between(1, 1_000_000_000), F.lit(False))).alias("bad_frame_numbers"), count(F.isnan("Cell_1") | (F.abs("Cell_1") == float("inf"))).alias("bad_readings"))
 
 
-@register("wide_to_long_all")
-def wide_to_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_frame(spark, sf_dir, 1_000_000_000)
+TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-@register("long_to_wide", f"WITH {BINS_SQL} SELECT t, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM bins WHERE event_type IN ('click', 'view') GROUP BY t")
+@register("long_to_wide", f"WITH {BINS_SQL} SELECT t, {', '.join(f"max(value) FILTER (event_type = '{k}') AS {k}" for k in TYPES)} FROM bins GROUP BY t")
 def long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bins(spark, sf_dir).withColumnRenamed("event_type", "cell")
-    return T.wide_from_long(b.filter(F.col("cell").isin("click", "view")), ["click", "view"])
+    return T.wide_from_long(bins(spark, sf_dir).withColumnRenamed("event_type", "cell"), list(TYPES))
