@@ -218,3 +218,23 @@ def normal_draws(y: np.ndarray, draws: int, burn: int, g: np.random.Generator) -
         if i >= burn:
             out.append((mean, var))
     return tuple(np.array(out).reshape(-1, 2).T)
+
+
+def oasis_counts(y: np.ndarray, factor: float = 0.1, reach: int = 3) -> np.ndarray:
+    """Events of each row of a draws x frames matrix: values above factor sds of the rest after the 21-frame mean (the row's median where that is missing), merged within reach; rows of under 21 frames: values above two sds."""
+    draws, n = y.shape
+    if n < 21:
+        return (y > 2 * y.std(1, ddof=1, keepdims=True)).sum(1) if n > 1 else np.zeros(draws, int)
+    sums = np.cumsum(np.concatenate([np.zeros((draws, 1)), y], 1), 1)
+    centre = np.repeat(np.median(y, 1, keepdims=True), n, 1)
+    centre[:, 10 : n - 10] = (sums[:, 21:] - sums[:, :-21]) / 21
+    a = y - centre
+    over = a > factor * a.std(1, ddof=1, keepdims=True)
+    at, height, events = np.full(draws, -reach - 1), np.full(draws, -np.inf), np.zeros(draws, int)
+    for t in range(n):
+        new = over[:, t] & (t - at > reach)
+        better = over[:, t] & ~new & (a[:, t] > height)
+        events += new
+        at[new | better] = t
+        height[new | better] = a[new | better, t]
+    return events

@@ -129,8 +129,29 @@ def ica(df: DataFrame, key: str, k: int = 2, method: str = "fastica") -> DataFra
     return per_matrix(df, key, lambda m: dict(zip(("sources", "unmixing"), K.ica(m, k, method=method))))
 
 
-def bootstrap_counts(df: DataFrame, detector: Callable[[DataFrame], DataFrame], draws: int = CONFIG.bootstraps, confidence: float = CONFIG.confidence, seed: int = 1) -> DataFrame:
-    """(cell, count_low, count_high, rate_low, rate_high): percentile intervals of spike count and rate over resamples of frames with replacement.
+def bootstrap_counts(df: DataFrame, draws: int = CONFIG.bootstraps, confidence: float = CONFIG.confidence, seed: int = 1) -> DataFrame:
+    """(cell, frames, count_low, count_high, rate_low, rate_high): percentile intervals of the oasis detector's spike count and rate over resamples of frames with replacement.
+
+    All draws of a cell are detected together; missing readings are left out, cells of less than two readings have no interval.
+    """
+    kind = df.schema["cell"].dataType.simpleString()
+    ends = [(1 - confidence) / 2, (1 + confidence) / 2]
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        y = p.dropna(subset=["value"]).sort_values("t")["value"].to_numpy(float)
+        g, counts = _seed(seed, "bootstrap", p["cell"].iloc[0]), []
+        for a in range(0, draws if len(y) > 1 else 0, max(1, 4_000_000 // max(1, len(y)))):
+            some = min(draws - a, max(1, 4_000_000 // len(y)))
+            counts.append(K.oasis_counts(y[g.integers(0, len(y), (some, len(y)))]))
+        low, high = np.quantile(np.concatenate(counts), ends) if counts else (np.nan, np.nan)
+        n = max(len(y), 1)
+        return pd.DataFrame({"cell": p["cell"].iloc[:1], "frames": [len(y)], "count_low": [low], "count_high": [high], "rate_low": [low / n], "rate_high": [high / n]})
+
+    return spread(df.select("cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, frames long, count_low double, count_high double, rate_low double, rate_high double")
+
+
+def bootstrap_by(df: DataFrame, detector: Callable[[DataFrame], DataFrame], draws: int = CONFIG.bootstraps, confidence: float = CONFIG.confidence, seed: int = 1) -> DataFrame:
+    """(cell, count_low, count_high, rate_low, rate_high): as bootstrap_counts, for any detector.
 
     Each resample is a cell of its own for the detector, so the work is spread over cells x draws.
     """
@@ -187,8 +208,16 @@ def optimise_span(df: DataFrame, target: str = "snr", spans: tuple[float, ...] =
     return score.join(F.broadcast(top)).select("span", "score", (F.col("span") == F.col("top")).alias("best"))
 
 
+def _drawn(draws: int, burn: int) -> None:
+    if draws < 1 or burn < 0:
+        raise ValueError("draws must be 1 at least, burn not below 0")
+
+
 def sample_spikes(df: DataFrame, model: str = "gaussian", draws: int = 1000, burn: int = 100, seed: int = 1) -> DataFrame:
     """(cell, t, draw, param, value): posterior spike probability per frame (t set, draw null) and parameter draws (t null)."""
+    _drawn(draws, burn)
+    if model not in ("gaussian", "poisson", "hierarchical"):
+        raise ValueError("model must be gaussian, poisson or hierarchical")
     kind = df.schema["cell"].dataType.simpleString()
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
@@ -205,6 +234,7 @@ def sample_spikes(df: DataFrame, model: str = "gaussian", draws: int = 1000, bur
 
 def estimate_parameters(df: DataFrame, model: str = "gaussian", draws: int = 1000, burn: int = 100, seed: int = 1) -> DataFrame:
     """(cell, draw, param, value): posterior draws of mean and variance (gaussian) or of the rate, Gamma(1 + sum, 1 + n) (poisson)."""
+    _drawn(draws, burn)
     kind = df.schema["cell"].dataType.simpleString()
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
@@ -233,6 +263,34 @@ def compare_groups(draws: DataFrame, a, b, param: str, ratio: bool = False) -> D
     return d.agg(F.avg("d").alias("mean"), F.get(q, F.lit(0)).alias("lower"), F.get(q, F.lit(1)).alias("upper"), F.avg((F.col("d") > (1.0 if ratio else 0.0)).cast("int")).alias("p_greater"))
 
 
+def proportion_draws(df: DataFrame, above: float, draws: int = 1000, seed: int = 1) -> DataFrame:
+    """(cell, draw, param, value): draws of the share of readings above a limit, Beta(1 + hits, 1 + misses); param proportion. For compare_groups."""
+    _drawn(draws, 0)
+    kind = df.schema["cell"].dataType.simpleString()
+    counts = df.filter(F.col("value").isNotNull()).groupBy("cell").agg(F.count("*").alias("n"), F.sum((F.col("value") > above).cast("long")).alias("hits"))
+
+    def one(it):
+        for p in it:
+            for cell, n, hits in zip(p["cell"], p["n"], p["hits"]):
+                yield pd.DataFrame({"cell": cell, "draw": np.arange(1, draws + 1), "param": "proportion", "value": _seed(seed, "proportion", cell).beta(1 + hits, 1 + n - hits, draws)})
+
+    return counts.mapInPandas(one, f"cell {kind}, draw long, param string, value double")
+
+
+def frame_uncertainty(df: DataFrame, model: str = "gaussian", draws: int = 1000, burn: int = 100, confidence: float = CONFIG.confidence, seed: int = 1) -> DataFrame:
+    """(cell, t, probability, sd, lower, upper): per frame the share of draws with a spike, the sd of that indicator, and the interval of its draws."""
+    p = sample_spikes(df, model, draws, burn, seed).filter(F.col("t").isNotNull()).select("cell", "t", F.col("value").alias("probability"))
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    # draws of an indicator are ones and zeros: its quantiles follow from the share of ones
+    edge = lambda q: F.when(1 - F.col("probability") <= q, 1.0).otherwise(0.0)
+    return p.select("cell", "t", "probability", F.sqrt(F.col("probability") * (1 - F.col("probability"))).alias("sd"), edge(low).alias("lower"), edge(high).alias("upper"))
+
+
+def population(df: DataFrame) -> DataFrame:
+    """(t, cells, mean, variance): what a model over all cells starts from, per frame over the cells that have a reading there."""
+    return df.filter(F.col("value").isNotNull()).groupBy("t").agg(F.count("*").alias("cells"), F.avg("value").alias("mean"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"))
+
+
 def information_criteria(df: DataFrame, means: DataFrame) -> DataFrame:
     """(cell, log_likelihood, aic, bic, dic) of a normal model at given (cell, mean, variance); k = n + 2 parameters, dic = -2 ll."""
     j = df.filter(F.col("value").isNotNull()).join(means, "cell")
@@ -270,7 +328,11 @@ def synthetic(spark, cells: int = 5, frames: int = 1000, spike_prob: float = 0.0
     def one(p: pd.DataFrame) -> pd.DataFrame:
         name = p["cell"].iloc[0]
         g, back = _seed(seed, name), name.startswith("BG_")
-        y = g.normal(0, 0.001 if back else 0.01, frames).cumsum() + g.normal(0, 0.02 if back else 0.05, frames)
+        if back:  # one walk goes on through the three backgrounds
+            first = (int(name[3:]) - 1) * frames
+            y = _seed(seed, "BG").normal(0, 0.001, 3 * frames).cumsum()[first : first + frames] + g.normal(0, 0.02, frames)
+        else:
+            y = g.normal(0, 0.01, frames).cumsum() + g.normal(0, 0.05, frames)
         if not back:
             amplitude = (g.random(frames) < spike_prob) * g.uniform(0.5, 2, frames)
             y += np.convolve(amplitude, np.concatenate([[0], np.exp(-np.arange(1, 51) / 10)]))[:frames]

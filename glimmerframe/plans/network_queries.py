@@ -72,9 +72,24 @@ def transfer_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(N.transfer_entropy(months(spark, sf_dir)))
 
 
-@register("granger_f")
+def granger_sql(lags: int) -> str:
+    """F of every ordered pair: regressors are made orthogonal to one another and to the target in turn, own lags first; what is left of the target are the rests."""
+    names = [f"o{i}" for i in range(1, lags + 1)] + [f"x{i}" for i in range(1, lags + 1)]
+    columns = ", ".join(f"lag(y, {i}) OVER p AS o{i}, lag(x, {i}) OVER p AS x{i}" for i in range(1, lags + 1))
+    steps = [f"q AS (SELECT a.cell AS src, b.cell AS dst, a.t, a.value AS x, b.value AS y FROM months a JOIN months b ON a.t = b.t AND a.cell <> b.cell), l AS (SELECT src, dst, t, y, {columns} FROM q WINDOW p AS (PARTITION BY src, dst ORDER BY t))",
+             f"s0 AS (SELECT src, dst, t, {', '.join(f'{c} - avg({c}) OVER p AS {c}' for c in [*names, 'y'])}, count(*) OVER p AS n FROM l WHERE o{lags} IS NOT NULL WINDOW p AS (PARTITION BY src, dst))"]
+    for i, k in enumerate(names):
+        rest = [*names[i + 1 :], "y"]
+        kept = ", r0" if i >= lags else ""
+        made = ", ".join(f"{c} - coalesce(sum({k} * {c}) OVER p / nullif(sum({k} * {k}) OVER p, 0), 0) * {k} AS {c}" for c in rest)
+        mark = ", sum(y * y) OVER p AS r0" if i == lags else kept
+        steps.append(f"s{i + 1} AS (SELECT src, dst, t, n, {made}{mark} FROM s{i} WINDOW p AS (PARTITION BY src, dst))")
+    return f"{W}, {', '.join(steps)} SELECT src, dst, round((any_value(r0) - sum(y * y)) / {lags} / (sum(y * y) / (any_value(n) - {2 * lags + 1})), 4) + 0.0 AS f FROM s{2 * lags} GROUP BY src, dst"
+
+
+@register("granger_f", granger_sql(5))
 def granger_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.granger(months(spark, sf_dir), 2)
+    return N.granger(months(spark, sf_dir)).withColumn("f", F.round("f", 4) + F.lit(0.0))
 
 
 THR_ABS = "e2 AS (SELECT * FROM e WHERE abs(w) >= 0.2 AND w <> 0)"
@@ -120,7 +135,15 @@ def graph_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.closeness(*kept(spark, sf_dir)).withColumn("closeness", r6("closeness"))
 
 
-@register("label_communities")
+def labels_sql(rounds: int) -> str:
+    """That many rounds of label propagation, and as many in which labels only fall: more than the graph needs."""
+    steps = ["l0 AS (SELECT node, node AS c FROM nodes)"]
+    for i in range(2 * rounds):
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT node, {'coalesce(new, l.c)' if i < rounds else 'least(coalesce(new, l.c), l.c)'} AS c FROM l{i} l LEFT JOIN (SELECT dst AS node, arg_min(c, (-w, c)) AS new FROM (SELECT dst, c, sum(w) AS w FROM b JOIN l{i} ON src = node GROUP BY ALL) GROUP BY dst) USING (node))")
+    return f"{W}, {CORR}, {NODES}, {THR_ABS}, {BOTH}, {', '.join(steps)} SELECT node, c AS community FROM l{2 * rounds}"
+
+
+@register("label_communities", labels_sql(14))
 def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.label_propagation(*kept(spark, sf_dir))
 
@@ -154,10 +177,18 @@ def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.window_metrics(e, wins, 25).select("win", r6("density").alias("density"), r6("clustering").alias("clustering"))
 
 
-@register("window_efficiency")
+def efficiency_sql(doublings: int) -> str:
+    """Shortest paths by repeated doubling of the number of hops; cells that no path reaches are 1e10 away."""
+    steps = ["d0 AS (SELECT win, src, dst, 1 / (abs(w) + 1e-10) AS d FROM b UNION ALL SELECT DISTINCT win, src, src, 0 FROM b)"]
+    for i in range(doublings):
+        steps.append(f"d{i + 1} AS (SELECT x.win, x.src, y.dst, min(x.d + y.d) AS d FROM d{i} x JOIN d{i} y ON x.win = y.win AND x.dst = y.src GROUP BY ALL)")
+    return f"{W}, {WINS}, {WBOTH}, {', '.join(steps)}, s AS (SELECT win, sum(1 / d) AS s, count(*) AS m FROM d{doublings} WHERE src <> dst GROUP BY win) SELECT win, round((coalesce(s, 0) + (n * (n - 1) - coalesce(m, 0)) * 1e-10) / (n * (n - 1)), 6) AS efficiency FROM wins LEFT JOIN s USING (win), n"
+
+
+@register("window_efficiency", efficiency_sql(5))
 def window_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, wins = windowed(spark, sf_dir)
-    return N.window_metrics(e, wins, 25).select("win", "efficiency")
+    return N.window_metrics(e, wins, 25).select("win", r6("efficiency").alias("efficiency"))
 
 
 STAB = f"{W}, {WINS}, {WBOTH}, full_ AS (SELECT win, a.node AS src, c.node AS dst, CASE WHEN a.node = c.node THEN 1 ELSE coalesce(b.w, 0) END AS x FROM wins CROSS JOIN (SELECT DISTINCT cell AS node FROM months) a CROSS JOIN (SELECT DISTINCT cell AS node FROM months) c LEFT JOIN b USING (win) WHERE b.src IS NULL OR (b.src = a.node AND b.dst = c.node))"

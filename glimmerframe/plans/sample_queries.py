@@ -54,9 +54,19 @@ def combat_meanonly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valued(S.combat(samples(spark, sf_dir), mean_only=True))
 
 
-@register("combat_full")
+COMBAT_FULL = """g AS (SELECT feature, batch, count(*) AS n, avg(value) AS m, var_pop(value) AS v, var_samp(value) AS vs FROM samples GROUP BY ALL),
+h AS (SELECT *, sum(n * m) OVER p / sum(n) OVER p AS grand, sum(n * v) OVER p / sum(n) OVER p AS pooled FROM g WINDOW p AS (PARTITION BY feature)),
+k AS (SELECT *, (m - grand) / sqrt(pooled) AS gamma, vs / pooled AS delta FROM h),
+e AS (SELECT *, avg(gamma) OVER b AS mean, var_samp(gamma) OVER b AS t2, avg(delta) OVER b AS d, var_samp(delta) OVER b AS s2 FROM k WINDOW b AS (PARTITION BY batch)),
+i AS (SELECT feature, batch, n, grand, pooled, gamma, delta, mean, t2, (2 * s2 + d * d) / s2 AS a, (d * s2 + pow(d, 3)) / s2 AS b, gamma AS star, delta AS scale, 0 AS i FROM e UNION ALL
+ SELECT feature, batch, n, grand, pooled, gamma, delta, mean, t2, a, b, (n * t2 * gamma + scale * mean) / (n * t2 + scale),
+  (b + ((n - 1) * delta + n * pow(gamma - (n * t2 * gamma + scale * mean) / (n * t2 + scale), 2)) / 2) / (n / 2 + a - 1), i + 1 FROM i WHERE i < 200),
+s AS (SELECT * FROM i WHERE i = 200)"""
+
+
+@register("combat_full", f"{W}, {COMBAT_FULL} SELECT sample, feature, batch, round(((value - grand) / sqrt(pooled) - star) / sqrt(scale) * sqrt(pooled) + grand, 5) + 0.0 AS value FROM samples JOIN s USING (feature, batch)")
 def combat_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.combat(samples(spark, sf_dir))
+    return S.combat(samples(spark, sf_dir)).select(*KEYED, (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
 @register("pca_harmonize")
@@ -192,12 +202,29 @@ def region_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.region_properties(I.components(mask(spark, sf_dir)), pixels(spark, sf_dir)).withColumns({c: r6(c) for c in ("centroid_r", "centroid_c", "eccentricity", "intensity")})
 
 
-@register("jaccard_quality")
+def labelled_sql(mask: str, name: str) -> str:
+    """The regions of a mask (frame, r, c, value) as name."""
+    return f"""{name}_on AS MATERIALIZED (SELECT frame, r, c FROM {mask} WHERE value > 0), {name}_w(frame, r, c, label) AS (SELECT frame, r, c, r * 1000000 + c FROM {name}_on UNION SELECT o.frame, o.r, o.c, w.label FROM {name}_w w JOIN {name}_on o ON o.frame = w.frame AND abs(o.r - w.r) + abs(o.c - w.c) = 1),
+{name} AS MATERIALIZED (SELECT frame, r, c, min(label) AS label FROM {name}_w GROUP BY ALL)"""
+
+
+SEVENTIETH = "top AS MATERIALIZED (SELECT frame, r, c, (value > quantile_cont(value, 0.7) OVER (PARTITION BY frame))::INT AS value FROM pixels)"
+
+
+@register("jaccard_quality", f"{P}, {SEVENTIETH}, {MASK}, {labelled_sql('top', 'f')}, {labelled_sql('mask', 't')}, fn AS (SELECT frame, label, count(*) AS n FROM f GROUP BY ALL), tn AS (SELECT frame, label, count(*) AS n FROM t GROUP BY ALL), j AS (SELECT t.frame, t.label, f.label AS other, count(*) AS n FROM t JOIN f USING (frame, r, c) GROUP BY ALL), b AS (SELECT j.frame, j.label, max(j.n / (tn.n + fn.n - j.n)) AS j FROM j JOIN tn ON tn.frame = j.frame AND tn.label = j.label JOIN fn ON fn.frame = j.frame AND fn.label = j.other GROUP BY ALL) SELECT frame, label, round(coalesce(j, 0), 6) AS jaccard FROM tn LEFT JOIN b USING (frame, label)")
 def jaccard_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
-    return I.best_overlap(I.segment(px, "threshold"), I.components(mask(spark, sf_dir)))
+    return I.best_overlap(I.segment(px, "threshold"), I.components(mask(spark, sf_dir))).withColumn("jaccard", r6("jaccard"))
+
+
+LOCAL = f"""st AS MATERIALIZED (SELECT frame, r, c, (value - min(value) OVER p) / (max(value) OVER p - min(value) OVER p) AS value FROM pixels WINDOW p AS (PARTITION BY frame)),
+k AS (SELECT unnest(range(-3, 4)) AS d), g AS (SELECT d, exp(-d * d / 2.0::DOUBLE) / sum(exp(-d * d / 2.0::DOUBLE)) OVER () AS w FROM k),
+gx AS MATERIALIZED (SELECT a.frame, a.r, a.c, CASE WHEN count(*) = 7 THEN sum(b.value * w) ELSE 0 END AS value FROM st a JOIN st b ON a.frame = b.frame AND a.c = b.c JOIN g ON b.r - a.r = g.d GROUP BY ALL),
+gy AS MATERIALIZED (SELECT a.frame, a.r, a.c, CASE WHEN count(*) = 7 THEN sum(b.value * w) ELSE 0 END AS value FROM gx a JOIN gx b ON a.frame = b.frame AND a.r = b.r JOIN g ON b.c - a.c = g.d GROUP BY ALL),
+lt AS MATERIALIZED ({near('gy', 7, '(any_value(a.value) > sum(b.value) / 225 - 0.05)::INT')}),
+o1 AS MATERIALIZED ({near('lt', 1, ERODE)}), o2 AS MATERIALIZED ({near('o1', 1, DILATE)}), c1 AS MATERIALIZED ({near('o2', 1, DILATE)}), c2 AS MATERIALIZED ({near('c1', 1, ERODE)})"""
 
 
-@register("segment_local")
+@register("segment_local", f"{P}, {LOCAL}, {labelled_sql('c2', 's')} SELECT frame, r, c, label FROM s")
 def segment_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.segment(pixels(spark, sf_dir), "local")
