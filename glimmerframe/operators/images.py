@@ -5,7 +5,7 @@ Neighbourhoods are offset joins without a theta condition: each pixel is sent to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmerframe.functions.quantiles import exact_quantile
@@ -180,3 +180,65 @@ def segment(px: DataFrame, method: str = "threshold", least: int = 1) -> DataFra
     else:
         raise ValueError("method must be threshold, local or edges")
     return remove_small(components(mask), least)
+
+
+def kmeans_regions(px: DataFrame, diameter: float, seed: int = 1) -> DataFrame:
+    """(frame, r, c, label): k-means over (value, r, c) of all pixels, max(2, round(pixels of a frame / (pi (diameter / 2)^2))) clusters."""
+    from math import pi
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    size = px.groupBy("frame").count().agg(F.max("count")).first()[0] or 0
+    v = px.select(*KEYS, array_to_vector(F.array("value", F.col("r").cast("double"), F.col("c").cast("double"))).alias("features"))
+    if not size:
+        return px.select(*KEYS, F.lit(0).alias("label")).limit(0)
+    k = max(2, round(size / (pi * (diameter / 2) ** 2)))
+    return KMeans(k=k, seed=seed).fit(v).transform(v).select(*KEYS, F.col("prediction").alias("label"))
+
+
+def fill_holes(px: DataFrame) -> DataFrame:
+    """A mask with every 4-connected hole filled: background that does not reach the frame's edge becomes 1."""
+    ends = px.groupBy("frame").agg(F.min("r").alias("__a"), F.max("r").alias("__z"), F.min("c").alias("__l"), F.max("c").alias("__r"))
+    back = components(px.withColumn("value", (F.col("value") <= 0).cast("double")))
+    edge = (F.col("r") == F.col("__a")) | (F.col("r") == F.col("__z")) | (F.col("c") == F.col("__l")) | (F.col("c") == F.col("__r"))
+    holes = back.join(back.join(ends, "frame").filter(edge).select("frame", "label").distinct(), ["frame", "label"], "left_anti").select(*KEYS, F.lit(1.0).alias("__h"))
+    return px.join(holes, KEYS, "left").withColumn("value", F.coalesce("__h", (F.col("value") > 0).cast("double"))).drop("__h")
+
+
+def borders(labels: DataFrame) -> DataFrame:
+    """(frame, label, r, c): the pixels of a region with a side neighbour outside it: its contour."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    near = labels.select("frame", "label", "r", "c", F.explode(steps).alias("s")).select("frame", "label", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"))
+    inside = near.groupBy("frame", "label", "r", "c").count().filter(F.col("count") == 4).drop("count")
+    return labels.select("frame", "label", "r", "c").join(inside, ["frame", "label", "r", "c"], "left_anti")
+
+
+def distance_transform(px: DataFrame) -> DataFrame:
+    """(frame, r, c, value): city-block distance to the nearest pixel that is not above 0, along rows and then along columns; null in a frame without one."""
+    for along, other in (("c", "r"), ("r", "c")):
+        start = F.when(F.col("value") <= 0, F.lit(0)) if along == "c" else F.col("__d")
+        by = Window.partitionBy("frame", other)
+        before = F.min(F.col("__s") - F.col(along)).over(by.orderBy(along)) + F.col(along)
+        after = F.min(F.col("__s") + F.col(along)).over(by.orderBy(F.desc(along))) - F.col(along)
+        px = px.withColumn("__s", start).withColumn("__d", F.least(before, after))
+    return px.select(*KEYS, F.col("__d").cast("double").alias("value"))
+
+
+def local_maxima(px: DataFrame, window: int = 3) -> DataFrame:
+    """(frame, r, c, value): pixels above 0 that no pixel of their window exceeds."""
+    return around(px, window, F.max("v").alias("__m")).filter((F.col("value") > 0) & (F.col("value") >= F.col("__m"))).select(*KEYS, "value")
+
+
+def roi_quality(labels: DataFrame, px: DataFrame, least: int = 4) -> DataFrame:
+    """(frame, label, size, shape, intensity, overall): size: area / (area + least); shape: 1 - eccentricity; intensity: the share of the frame's pixels that the region's mean exceeds; overall: their mean."""
+    p = region_properties(labels, px)
+    rank = px.select("frame", F.col("value").alias("v")).join(p.select("frame", "label", F.col("intensity").alias("m")), "frame").groupBy("frame", "label").agg(F.avg((F.col("v") < F.col("m")).cast("int")).alias("intensity"))
+    s = p.select("frame", "label", (F.col("area") / (F.col("area") + least)).alias("size"), (1 - F.col("eccentricity")).alias("shape")).join(rank, ["frame", "label"])
+    return s.withColumn("overall", (F.col("size") + F.col("shape") + F.col("intensity")) / 3)
+
+
+def roi_table(labels: DataFrame, px: DataFrame) -> DataFrame:
+    """(frame, roi_id, x, y, intensity): regions numbered in each frame by label, x across and y down, as editors of regions read them (write it with sources.files.export)."""
+    number = F.row_number().over(Window.partitionBy("frame").orderBy("label"))
+    return region_properties(labels, px).select("frame", number.cast("long").alias("roi_id"), F.col("centroid_c").alias("x"), F.col("centroid_r").alias("y"), "intensity")

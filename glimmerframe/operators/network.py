@@ -144,21 +144,22 @@ def nodes_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("cell").alias("node")).distinct()
 
 
-def entries(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a): absolute entries of the whole square matrix, both triangles and the zero diagonal."""
-    twice = edges.select(F.abs(F.coalesce("w", F.lit(0.0))).alias("a"), F.explode(F.array(F.lit(1), F.lit(2))).alias("__")).select("a")
+def entries(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
+    """(a): absolute entries of the whole square matrix, both triangles (given both for directed edges) and the zero diagonal."""
+    one = F.abs(F.coalesce("w", F.lit(0.0))).alias("a")
+    twice = edges.select(one) if directed else edges.select(one, F.explode(F.array(F.lit(1), F.lit(2))).alias("__")).select("a")
     return twice.unionByName(nodes.select(F.lit(0.0).alias("a")))
 
 
-def threshold(edges: DataFrame, nodes: DataFrame, method: str = "percentile", value: float = 0.95) -> DataFrame:
+def threshold(edges: DataFrame, nodes: DataFrame, method: str = "percentile", value: float = 0.95, directed: bool = False) -> DataFrame:
     """Edges whose |w| is not below a limit and not 0: the value itself (absolute), that quantile of all matrix entries (percentile), or the entry at rank round(value * n^2) (density)."""
     edges = edges.filter(F.col("w").isNotNull())
     if method == "absolute":
         return edges.filter((F.abs("w") >= value) & (F.col("w") != 0))
     if method == "percentile":
-        limit = exact_quantile(entries(edges, nodes).withColumn("k", F.lit(1)), ["k"], "a", value, "limit").select("limit")
+        limit = exact_quantile(entries(edges, nodes, directed).withColumn("k", F.lit(1)), ["k"], "a", value, "limit").select("limit")
     elif method == "density":
-        e = entries(edges, nodes).groupBy("a").agg(F.count("*").alias("n"))
+        e = entries(edges, nodes, directed).groupBy("a").agg(F.count("*").alias("n"))
         size = nodes.agg((F.count("*") * F.count("*")).alias("size"))
         run = e.join(F.broadcast(size)).withColumn("k", F.lit(1)).withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy(F.desc("a"))))
         limit = run.filter(F.col("upto") >= F.round(F.col("size") * value)).agg(F.max("a").alias("limit"))

@@ -339,3 +339,8 @@ def synthetic(spark, cells: int = 5, frames: int = 1000, spike_prob: float = 0.0
         return pd.DataFrame({"cell": name, "t": np.arange(1, frames + 1), "value": y})
 
     return base.groupBy("cell").applyInPandas(one, "cell string, t long, value double")
+
+
+def synthetic_preset(spark) -> DataFrame:
+    """The common example: 10 cells of 500 frames, spike probability 0.02, seed 123."""
+    return synthetic(spark, 10, 500, 0.02, 123)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["training", "trace_queries", "spike_queries", "network_queries", "sample_queries", "numeric_queries", "stream_queries"]
+MODULES = ["training", "trace_queries", "spike_queries", "network_queries", "sample_queries", "numeric_queries", "stream_queries", "composed_queries"]
 
 
 def load_all() -> None:

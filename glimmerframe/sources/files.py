@@ -72,16 +72,30 @@ def drop_sparse_rows(df: DataFrame, most_missing: float = CONFIG.most_missing) -
     return df.filter(missing <= most_missing * max(len(columns), 1))
 
 
+IMAGING = "struct<frame_rate:double,resolution:string,magnification:double,excitation_wavelength:double,emission_wavelength:double>"
+PROCESSING = "struct<preprocessing_steps:array<string>,spike_detection_method:string,correction_method:string>"
+
+
 def metadata(df: DataFrame, template: dict[str, object] | None = None) -> DataFrame:
-    """df (experiment_id, date, ...) with the standard metadata fields added where missing: nulls, today's date, and the given template values."""
+    """df (experiment_id, date, ...) with the standard metadata fields added where missing: nulls, today's date, and the given template values; imaging_parameters and data_processing are structs."""
     fields = ("experiment_id", "date", "time", "animal_id", "session_id", "experimenter", "protocol", "notes")
     fill = {"date": F.date_format(F.current_date(), "yyyy-MM-dd"), "time": F.date_format(F.current_timestamp(), "HH:mm:ss")} | {k: F.lit(v) for k, v in (template or {}).items()}
     for f in fields:
         value = fill.get(f, F.lit(None).cast("string"))
         df = df.withColumn(f, F.coalesce(F.col(f), value) if f in df.columns else value)
+    for f, kind in (("imaging_parameters", IMAGING), ("data_processing", PROCESSING)):
+        df = df if f in df.columns else df.withColumn(f, F.lit(None).cast(kind))
     return df
 
 
+def check_memory(df: DataFrame, rows: int, limit_mb: float = CONFIG.memory_mb) -> float:
+    """estimated_mb, or ValueError beyond the limit: for operators that hold a whole trace or matrix."""
+    needed = estimated_mb(df, rows)
+    if needed > limit_mb:
+        raise ValueError(f"about {needed:.0f} MB needed, more than {limit_mb:.0f}")
+    return needed
+
+
 def estimated_mb(df: DataFrame, rows: int) -> float:
     """Eight bytes per value; for planning only."""
     return rows * len(df.columns) * 8 / 2**20
