@@ -36,7 +36,7 @@ PURPOSES = ["to continue", "and reload this page", "in your browser settings", "
 THRESHOLD, COMMON = 0.72, 0.01
 
 CJK = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
-TOKEN = re.compile(rf"\{{\{{|\}}\}}|\{{%|%\}}|[$#]\{{|\{{\$|<%|%>|<<|>>|@@|&&|(?<![^\W_])__|__(?![^\W_])|(?<=\x02)(?i:(?:todo|fixme)\s*:)|%[^\W\d_][\w.-]*%|\$[^\W\d_][\w.-]*\$|(?<![{{$#])\{{[^\W\d_][\w.-]+\}}(?!\}})|[\[\]<>}}]|[{CJK}]|(?:(?![{CJK}])[^\W_])+(?:['’](?:(?![{CJK}])[^\W_])+)*")
+TOKEN = re.compile(rf"\{{\{{|\}}\}}|\{{%|%\}}|[$#]\{{|\{{\$|<%|%>|<<|>>|@@|&&|(?<![^\W_])__|__(?![^\W_])|(?<=\x02)(?i:(?:todo|fixme)\s*:)|%[^\W\d_][\w.-]*%|\$[^\W\d_][\w.-]*\$|(?<![{{$#])\{{[^\W\d_][\w.-]+\}}(?!\}})|[\[\]<>}}]|[{CJK}]|[^\W_{CJK}]+(?:['’][^\W_{CJK}]+)*")
 NAMED = re.compile(r"[%$].+[%$]$|\{[^{}%$]+\}$")
 TASK = re.compile(r"(?:\A|(?<=[\x02.!?…>}\])»*\"-]))\s*(?=(?i:todo|fixme)\s*:)|[\r\n]\s*(?=(?:TODO|ToDo|Todo|FIXME|Fixme)\s*:)")
 
