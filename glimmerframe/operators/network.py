@@ -1,7 +1,7 @@
 """Functional networks of cells: pair measures, thresholds, graph figures, and their change over time.
 
-Undirected edges are (src, dst, w) with src < dst, directed ones have src driving dst. Pairs come from an equi-join on the frame, so a pair is measured on
-the frames that both cells have. A measure that is undefined (a constant cell) is null and never an edge.
+Undirected edges are (src, dst, w) with src < dst, directed ones have src driving dst. A pair is measured on the frames that both cells have: by products of small matrices
+for correlations, by an equi-join on the frame for the rest. A measure that is undefined (a constant cell) is null and never an edge.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +34,86 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
+FRAMES, CELLS = 1000, 1000
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def products(df: DataFrame, extra: tuple[str, ...] = (), lags: int = 0) -> DataFrame:
+    """(extra, src, dst, lag, n, sx, sy, sxx, syy, sxy): sums over the frames t for which src has a reading at t and dst one at t + lag; values count from their cell's least one.
+
+    lag 0: pairs src < dst only; lags 1 .. lags: pairs of different cells in both orders. Frames are cut into blocks and cells into groups; a block of frames of two groups is a pair of
+    small matrices, whose products are the sums of all their pairs at once. What is shuffled is a row a reading (for each group of cells) and then a row a pair and block of frames,
+    instead of a row a pair and frame.
+    """
+    kind = df.schema["cell"].dataType.simpleString()
+    named = [(c, df.schema[c].dataType.simpleString()) for c in extra]
+    df = df.filter(F.col("value").isNotNull() & F.col("cell").isNotNull() & F.col("t").isNotNull()).groupBy(*extra, "cell", "t").agg(F.max("value").alias("value"))
+    df = df.join(df.groupBy(*extra, "cell").agg(F.min("value").alias("__low")), [*extra, "cell"]).select(*extra, "cell", "t", (F.col("value") - F.col("__low")).alias("x"))
+    groups = max(1, -(-df.select("cell").distinct().count() // CELLS))
+    own = F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int")
+    df = df.withColumn("own", own).withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("t") / FRAMES), F.floor((F.col("t") - lags) / FRAMES)))))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # each pair of groups once, in both orders where lags tell them apart
+    sides = F.array(F.struct(F.col("own").alias("i"), F.col("other").alias("j")), F.struct(F.col("other").alias("i"), F.col("own").alias("j")))
+    df = df.withColumn("pair", F.explode(F.array_distinct(sides)))
+    df = df.select(*extra, "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "cell", "t", "x")
+    df = df if lags else df.filter(F.col("i") <= F.col("j"))
+    schema = ", ".join([f"`{c}` {k}" for c, k in named] + [f"src {kind}, dst {kind}, lag int", *[f"{c} double" for c in SUMS]])
+
+    def multiply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block, i, j = (k.as_py() for k in key[len(extra) :])
+        cells, code = np.unique(table["cell"].to_numpy(zero_copy_only=False), return_inverse=True)
+        t, x, own = table["t"].to_numpy() - block * FRAMES, table["x"].to_numpy(), table["own"].to_numpy()
+        group = np.zeros(len(cells), int)
+        group[code] = own
+        value, there = np.zeros((2, len(cells), FRAMES + lags))
+        value[code, t], there[code, t] = x, 1.0
+        first, second = np.flatnonzero(group == i), np.flatnonzero(group == j)
+        out = []
+        for lag in range(lags + 1):
+            if lag == 0 and i > j:
+                continue
+            va, ha = value[first, :FRAMES], there[first, :FRAMES]
+            vb, hb = value[second, lag : lag + FRAMES], there[second, lag : lag + FRAMES]
+            sums = [ha @ hb.T, va @ hb.T, ha @ vb.T, (va * va) @ hb.T, ha @ (vb * vb).T, va @ vb.T]
+            keep = sums[0] > 0
+            if lag == 0 and i == j:
+                keep &= first[:, None] < second[None, :]
+            else:
+                keep &= first[:, None] != second[None, :]
+            p, q = np.nonzero(keep)
+            a, b, parts = first[p], second[q], [m[p, q] for m in sums]
+            if lag == 0:  # the lesser cell comes first
+                swap = a > b
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                parts = [parts[0], *[np.where(swap, parts[y], parts[z]) for z, y in ((1, 2), (2, 1), (3, 4), (4, 3))], parts[5]]
+            out.append((a, b, np.full(len(a), lag), *parts))
+        a, b, lag, *parts = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in range(3 + len(SUMS)))
+        names = pa.array(cells, table.schema.field("cell").type)
+        fixed = [pa.array([k.as_py()] * len(a), k.type) for k in key[: len(extra)]]
+        return pa.table([*fixed, names.take(pa.array(a)), names.take(pa.array(b)), pa.array(lag, pa.int32()), *[pa.array(p, pa.float64()) for p in parts]], [*extra, "src", "dst", "lag", *SUMS])
+
+    made = spread(df, *extra, "block", "i", "j").groupBy(*extra, "block", "i", "j").applyInArrow(multiply, schema)
+    return made.groupBy(*extra, "src", "dst", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def _pearson() -> Column:
+    """Correlation from the sums of products(); null where a side is constant or a pair is alone."""
+    n = F.col("n")
+    spread_of = lambda s, q: F.when(F.col(q) - F.col(s) * F.col(s) / n > 1e-14 * F.col(q), F.col(q) - F.col(s) * F.col(s) / n)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread_of("sx", "sxx") * spread_of("sy", "syy")))) + F.when(spread_of("sx", "sxx").isNotNull() & spread_of("sy", "syy").isNotNull(), 0.0)
+
+
 def correlation(df: DataFrame, method: str = "pearson", extra: tuple[str, ...] = ()) -> DataFrame:
     """(extra, src, dst, w) by pearson, spearman (average ranks within the cell) or kendall (tau-b)."""
     df = df.filter(F.col("value").isNotNull())
     by = [*extra, "src", "dst"]
     if method == "pearson":
-        return pairs(df, "value", extra=extra).groupBy(*by).agg(safe_corr("x_value", "y_value").alias("w"))
+        return products(df, extra).select(*by, _pearson().alias("w"))
     if method == "spearman":
         own = Window.partitionBy(*extra, "cell")
-        ranked = df.withColumn("r", F.rank().over(own.orderBy("value")) + (F.count("*").over(Window.partitionBy(*extra, "cell", "value")) - 1) / 2)
-        return pairs(ranked, "r", extra=extra).groupBy(*by).agg(safe_corr("x_r", "y_r").alias("w"))
+        ranked = df.withColumn("value", F.rank().over(own.orderBy("value")) + (F.count("*").over(Window.partitionBy(*extra, "cell", "value")) - 1) / 2)
+        return products(ranked, extra).select(*by, _pearson().alias("w"))
     if method == "kendall":
         p = pairs(df, "value", extra=extra)
         q = p.select(*by, F.col("t").alias("u"), F.col("x_value").alias("x2"), F.col("y_value").alias("y2"))
@@ -76,10 +147,7 @@ def gaussian_information(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFram
 
 def lagged_correlation(df: DataFrame, max_lag: int = 5) -> DataFrame:
     """(src, dst, lag, r): correlation of src with dst lag frames later, lags 1 .. max_lag."""
-    shifted = df.filter(F.col("value").isNotNull()).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
-    a = shifted.select((F.col("t") + F.col("lag")).alias("t"), "lag", F.col("cell").alias("src"), F.col("value").alias("x"))
-    b = df.select("t", F.col("cell").alias("dst"), F.col("value").alias("y"))
-    return a.join(b, "t").filter(F.col("src") != F.col("dst")).groupBy("src", "dst", "lag").agg(safe_corr("x", "y").alias("r"))
+    return products(df, lags=max_lag).filter(F.col("lag") > 0).select("src", "dst", "lag", _pearson().alias("r"))
 
 
 def lagged_links(df: DataFrame, max_lag: int = 5, alpha: float = 0.05) -> DataFrame:
@@ -91,13 +159,16 @@ def lagged_links(df: DataFrame, max_lag: int = 5, alpha: float = 0.05) -> DataFr
 
 
 def cross_correlation_peak(df: DataFrame, max_lag: int = 20) -> DataFrame:
-    """(src, dst, w): the largest absolute cross-correlation over lags -max_lag .. max_lag, sums divided by the whole length."""
-    s = df.join(df.groupBy("cell").agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s"), F.count("value").alias("__n")), "cell")
-    s = s.withColumn("d", F.try_divide(F.col("value") - F.col("__m"), F.nullif("__s", F.lit(0.0))))
-    a = s.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).select((F.col("t") + F.col("lag")).alias("t"), "lag", F.col("cell").alias("src"), F.col("d").alias("x"), "__n")
-    b = s.select("t", F.col("cell").alias("dst"), F.col("d").alias("y"))
-    c = a.join(b, "t").filter(F.col("src") < F.col("dst")).groupBy("src", "dst", "lag").agg((F.sum(F.col("x") * F.col("y")) / F.max("__n")).alias("r"))
-    return c.groupBy("src", "dst").agg(F.max(F.abs("r")).alias("w"))
+    """(src, dst, w): the largest absolute cross-correlation over lags -max_lag .. max_lag, sums divided by src's whole length; null for a constant cell."""
+    held = df.filter(F.col("value").isNotNull())
+    cells = held.groupBy("cell").agg((F.avg("value") - F.min("value")).alias("m"), F.stddev_pop("value").alias("s"), F.count("value").alias("n"))
+    p = products(held, lags=max_lag)
+    for side in ("src", "dst"):
+        p = p.join(cells.select(F.col("cell").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in "msn"]), side)
+    total = F.col("sxy") - F.col("m_dst") * F.col("sx") - F.col("m_src") * F.col("sy") + F.col("n") * F.col("m_src") * F.col("m_dst")
+    low = F.col("src") < F.col("dst")
+    r = F.try_divide(total, F.nullif(F.col("s_src") * F.col("s_dst"), F.lit(0.0))) / F.when(low, F.col("n_src")).otherwise(F.col("n_dst"))
+    return p.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.abs(r).alias("r")).groupBy("src", "dst").agg(F.max("r").alias("w"))
 
 
 def transfer_entropy(df: DataFrame, n_bins: int = 5, max_lag: int = 3) -> DataFrame:

@@ -117,3 +117,26 @@ def test_background_walk_goes_on(spark):
     b = {(r.cell, r.t): r.value for r in numeric.synthetic(spark, 1, 400).filter("cell like 'BG%'").collect()}
     last, first = np.mean([b["BG_1", t] for t in range(380, 401)]), np.mean([b["BG_2", t] for t in range(1, 22)])
     assert abs(last - first) < 0.03 and traces.trace_stats(numeric.synthetic_preset(spark)).count() == 13
+
+
+def test_products_of_blocks_and_groups(spark, monkeypatch):
+    from glimmerframe.operators import network
+
+    g = np.random.default_rng(8)
+    x = g.normal(size=(7, 90)).cumsum(1) + 1e4
+    rows = [(f"c{i}", t, None if g.random() < 0.1 else float(x[i, t])) for i in range(7) for t in range(90)] + [("k", t, 5.5) for t in range(90)]
+    df = spark.createDataFrame(rows, "cell string, t long, value double")
+    held = {c: {t: v for k, t, v in rows if k == c and v is not None} for c in [*(f"c{i}" for i in range(7)), "k"]}
+
+    def r(a, b, lag):
+        both = [(held[a][t], held[b][t + lag]) for t in held[a] if t + lag in held[b]]
+        return np.corrcoef(*zip(*both))[0, 1]
+
+    for frames, cells in ((1000, 1000), (16, 3), (7, 1)):
+        monkeypatch.setattr(network, "FRAMES", frames)
+        monkeypatch.setattr(network, "CELLS", cells)
+        got = {(e.src, e.dst): e.w for e in network.correlation(df).collect()}
+        assert len(got) == 28 and all(w is None for (a, b), w in got.items() if b == "k")
+        assert all(w == pytest.approx(r(a, b, 0), abs=1e-9) for (a, b), w in got.items() if b != "k")
+        late = {(e.src, e.dst, e.lag): e.r for e in network.lagged_correlation(df, 3).filter("src <> 'k' and dst <> 'k'").collect()}
+        assert len(late) == 7 * 6 * 3 and all(w == pytest.approx(r(*k), abs=1e-9) for k, w in late.items())
