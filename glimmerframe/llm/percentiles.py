@@ -47,3 +47,19 @@ def percentiles(parts: DataFrame, keys: list[str], percents: tuple[float, ...] =
         exact, low, high = (F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, r)))) for r in (q, q - rank_error(k), q + rank_error(k)))
         named += [exact.alias(label), F.when(F.col("n") < k, exact).otherwise(low).alias(f"{label}_low"), F.when(F.col("n") < k, exact).otherwise(high).alias(f"{label}_high")]
     return out.select(*keys, "n", "rank_error", *named)
+
+
+def hold(df: DataFrame, made: DataFrame, keys: list[str], value: str, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
+    """(keys, n, holds) of percentiles made from df: whether the true rank of every percentile is off by at most the stated rank error, by counting all values of the group on either side."""
+    v = df.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") < float("inf")))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    labels = {p: f"p{p:g}".replace(".", "_") for p in percents}
+    counts = [F.sum((F.col("__v") < F.col(x)).cast("long")).alias(f"__b{i}") for i, x in enumerate(labels.values())] + [F.sum((F.col("__v") <= F.col(x)).cast("long")).alias(f"__u{i}") for i, x in enumerate(labels.values())]
+    c = made.join(v, same).groupBy(*keys).agg(F.max("n").alias("n"), F.max("rank_error").alias("__e"), F.count("*").alias("__all"), *counts)
+    slack = F.col("__e") * F.col("n") + 1
+    good = F.col("n") == F.col("__all")
+    for i, p in enumerate(labels):
+        good &= (F.col(f"__b{i}") <= F.col("n") * p / 100 + slack) & (F.col(f"__u{i}") >= F.col("n") * p / 100 - slack)
+    return c.select(*keys, "n", good.alias("holds"))

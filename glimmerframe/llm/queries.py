@@ -52,6 +52,21 @@ def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.combine(_sketched(spark, sf_dir), keys), keys)
 
 
+FINITE = "count(*) AS n, true AS holds"
+P2_HOLDS_SQL = f"""
+SELECT 'Cell_1' AS column_name, recording_id, load_id, NULL::VARCHAR AS method, {FINITE} FROM raw_df WHERE isfinite(Cell_1) GROUP BY ALL
+UNION ALL SELECT 'spike', recording_id, NULL::BIGINT, method, {FINITE} FROM spike_results WHERE isfinite(spike) GROUP BY ALL"""
+
+
+def p2_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for table, keys, value in (("raw_df", ["recording_id", "load_id"], "Cell_1"), ("spike_results", ["recording_id", "method"], "spike")):
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        made = percentiles.percentiles(percentiles.sketches(rows, keys, value), keys)
+        parts.append(percentiles.hold(rows, made, keys, value).withColumn("column_name", F.lit(value)))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).select("column_name", "recording_id", "load_id", "method", "n", "holds")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual(spark.read.parquet(f"{sf_dir}/cell_windows.parquet"))
 
@@ -83,8 +98,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_sizes": p1_sizes, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_sizes": p1_sizes, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p2_holds": p2_holds, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p1_sizes": P1_SIZES_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p1_sizes": P1_SIZES_SQL, "p2_holds": P2_HOLDS_SQL, "p4_found": P4_SQL}

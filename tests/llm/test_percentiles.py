@@ -29,3 +29,16 @@ def test_rank_error_of_combined_sketches(spark, skewed):
         assert a - 2 * r.rank_error <= p / 100 <= b + 2 * r.rank_error
         assert r[f"p{p}_low"] <= r[f"p{p}"] <= r[f"p{p}_high"]
     assert r.p50_low <= np.quantile(values, 0.5) <= r.p50_high
+
+
+def test_hold_counts_the_true_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from glimmerframe.llm import percentiles as P
+
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 3 == 2, F.lit(None)).otherwise(F.col("id") % 3).alias("m"), (F.col("id") * 7919 % 10_007).cast("double").alias("x"))
+    made = P.percentiles(P.sketches(df, ["k", "m"], "x"), ["k", "m"])
+    got = P.hold(df, made, ["k", "m"], "x").collect()
+    assert sorted(r.n for r in got) == [6666, 6667, 6667] and all(r.holds for r in got)
+    off = made.withColumn("p50", F.col("p50") * 1.05)
+    assert not any(r.holds for r in P.hold(df, off, ["k", "m"], "x").collect())
