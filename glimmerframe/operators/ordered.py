@@ -42,7 +42,7 @@ def edges(rows: DataFrame, fields: list[str], k: int) -> DataFrame:
     ends = rows.filter((F.col("__rn") <= k) | (F.col("__rn") > F.col("__n") - k))
     some = lambda c: F.collect_list(F.when(c, F.col("__s")))
     b = ends.groupBy("source", "block").agg(F.sort_array(some(F.col("__rn") <= k)).alias("first"), F.sort_array(some(F.col("__rn") > F.col("__n") - k), False).alias("last"))
-    b = b.withColumn("stretch", F.floor(F.col("block") / STRETCH))
+    b = b.withColumn("stretch", F.coalesce(F.floor(F.col("block") / STRETCH), F.lit(0)))  # never null, so that no filter on it parts the plans that share rows
 
     def along(units: DataFrame, keys: list[str], order: str) -> DataFrame:
         by = Window.partitionBy(*keys).orderBy(order)
