@@ -1,16 +1,17 @@
 """Spike detectors on traces (cell, t, value) with frames 1, 2, ... in every cell: each gives (cell, t, fit, spike).
 
 Greedy rules (merging, refractory periods) run over candidates only, in islands: where two candidates are further apart than the rule reaches, its state
-starts anew, so an island is folded without its cell. Decaying sums look back a fixed number of frames, beyond which a spike's share is below
-one part in 10^17.
+starts anew, so an island is folded without its cell.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmerframe.operators.traces import halo, near, normalise, per_cell, with_quantiles
+from glimmerframe.operators.traces import by_blocks, near, normalise, per_cell, window_moments, with_quantiles
 
 EVENT = "struct<t:bigint,a:double>"
 
@@ -52,30 +53,44 @@ def mark(df: DataFrame, spikes: DataFrame, fit: Column | None = None) -> DataFra
     return df.join(found, ["cell", "t"], "left").select("cell", "t", fit.alias("fit"), F.coalesce("__s", F.lit(0.0)).alias("spike"))
 
 
-def leaky(df: DataFrame, decay: Column, reach: int, block: int) -> DataFrame:
-    """df (cell, t, value, spike) with fit: c[1] = value[1], c[i] = c[i - 1] * exp(-decay[i - 1]) + spike[i - 1]; decay in terms of the earlier frame."""
-    first = df.filter(F.col("t") == 1).select("cell", F.col("value").alias("__first"))
-    wide = halo(df.withColumn("__d", decay), reach, 0, block)
+def leaky(df: DataFrame, decay: Column, block: int) -> DataFrame:
+    """df (cell, t, value, spike) with fit: c[1] = value[1], c[i] = c[i - 1] * exp(-decay[i - 1]) + spike[i - 1]; decay in terms of the earlier frame.
+
+    A block of frames turns what comes into it, c, into a * c + b; the blocks of a cell are chained by these two numbers each, so nothing is forgotten however far back.
+    """
+    kind = df.schema["cell"].dataType.simpleString()
+    wide = df.withColumn("__d", decay).withColumn("__block", F.floor((F.col("t") - 1) / block))
     by = Window.partitionBy("cell", "__block").orderBy("t")
     past = by.rowsBetween(Window.unboundedPreceding, -1)
     wide = wide.withColumn("__sum", F.coalesce(F.sum("__d").over(past), F.lit(0.0)))
-    later = F.exp(F.col("__sum") + F.col("__d"))
-    wide = wide.withColumn("__c", F.coalesce(F.sum(F.col("spike") * later).over(past), F.lit(0.0)) * F.exp(-F.col("__sum")))
-    wide = wide.filter(F.col("__block") == F.col("__own"))
-    total = F.when(F.col("t") <= reach, F.coalesce("__first", F.lit(0.0)) * F.exp(-F.col("__sum"))).otherwise(F.lit(0.0))
-    return wide.join(first, "cell", "left").withColumn("fit", F.col("__c") + total).drop("__block", "__own", "__d", "__sum", "__c", "__first")
+    wide = wide.withColumn("__c", F.coalesce(F.sum(F.col("spike") * F.exp(F.col("__sum") + F.col("__d"))).over(past), F.lit(0.0)) * F.exp(-F.col("__sum")))
+    end = F.exp(-(F.col("__sum") + F.col("__d")))
+    blocks = wide.groupBy("cell", "__block").agg(F.max_by(end, "t").alias("a"), F.max_by(F.col("__c") * F.exp(-F.col("__d")) + F.col("spike"), "t").alias("b"), F.max(F.when(F.col("t") == 1, F.col("value"))).alias("first"))
+
+    def chain(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__block")
+        into, c = [], 0.0
+        for number, a, b, first in zip(p["__block"], p["a"], p["b"], p["first"]):
+            c = first if first == first and first is not None else c
+            into.append(c)
+            c = a * c + b
+        return pd.DataFrame({"cell": p["cell"], "__block": p["__block"], "__into": into})
+
+    chained = blocks.groupBy("cell").applyInPandas(chain, f"cell {kind}, __block long, __into double")
+    wide = wide.join(chained, ["cell", "__block"])
+    return wide.withColumn("fit", F.col("__c") + F.col("__into") * F.exp(-F.col("__sum"))).drop("__block", "__d", "__sum", "__c", "__into")
 
 
 def ar1_fit(df: DataFrame, spikes: DataFrame, tau: float = 10.0) -> DataFrame:
     """(cell, t, fit, spike): every spike adds one, the sum decays by exp(-1 / tau) a frame."""
     marked = df.join(mark(df, spikes).drop("fit"), ["cell", "t"])
-    return leaky(marked, F.lit(1.0 / tau), int(40 * tau), 2000).select("cell", "t", "fit", "spike")
+    return leaky(marked, F.lit(1.0 / tau), max(1, int(200 * tau))).select("cell", "t", "fit", "spike")
 
 
 def concentration(df: DataFrame, spikes: DataFrame) -> DataFrame:
     """(cell, t, fit, spike): a frame after a spike is one higher than it, any other frame exp(-1) of the one before."""
     marked = df.join(mark(df, spikes).drop("fit"), ["cell", "t"])
-    return leaky(marked, F.lit(1.0) - F.col("spike"), 200, 200).select("cell", "t", "fit", "spike")
+    return leaky(marked, F.lit(1.0) - F.col("spike"), 300).select("cell", "t", "fit", "spike")
 
 
 def detrended(df: DataFrame) -> DataFrame:
@@ -114,15 +129,15 @@ def difference(df: DataFrame, threshold: float = 2.5, refractory: int = 3) -> Da
 
 def local_threshold(df: DataFrame) -> DataFrame:
     """spike where the value exceeds the mean plus two sds of the frames around it (a fifth of ten percent of the trace each way, at most 25), first of every group within 5 frames; no fit."""
-    f = per_cell(df, F.count("*").alias("__n"))
-    half = F.floor(F.least(F.lit(50), F.floor(F.col("__n") / 10)) / 2)
-    # the half-width is one of few numbers: frames are collected for the widest and cut to the cell's own
-    f = near(f, 25, 25, lambda over: {"__w": F.collect_list(F.struct("t", "value")).over(over(-25, 25))}).withColumn("__h", half)
-    x = F.transform(F.filter("__w", lambda e: F.abs(e["t"] - F.col("t")) <= F.col("__h")), lambda e: e["value"])
-    f = f.withColumn("__x", x).withColumn("__c", F.size("__x")).withColumn("__m", F.try_divide(F.aggregate("__x", F.lit(0.0), lambda a, v: a + v), "__c"))
-    var = F.try_divide(F.aggregate("__x", F.lit(0.0), lambda a, v: a + (v - F.col("__m")) * (v - F.col("__m"))), F.col("__c") - 1)
-    c = f.withColumn("__v", var).filter(F.col("value") > F.col("__m") + 2 * F.sqrt("__v")).select("cell", "t", F.col("value").alias("a"))
-    return mark(df, keep_first(c, 6))
+
+    def above(x: np.ndarray, figures: dict[str, float]) -> np.ndarray:
+        half, x = int(min(50, figures["__n"] // 10)) // 2, x - (np.nanmean(x) if np.isfinite(x).any() else 0.0)
+        n, s, q = window_moments(x, half, half)
+        with np.errstate(all="ignore"):
+            return np.where(x > s / n + 2 * np.sqrt(np.maximum(0.0, (q - s * s / n) / (n - 1))), x, np.nan)
+
+    found = by_blocks(per_cell(df, F.count("*").alias("__n")), 25, 25, above, ("__n",)).filter(F.col("value").isNotNull())
+    return mark(df, keep_first(found.select("cell", "t", F.col("value").alias("a")), 6))
 
 
 def peaks(df: DataFrame, least: float | None = None) -> DataFrame:
@@ -180,22 +195,35 @@ def conv_threshold(df: DataFrame) -> DataFrame:
 
 
 def attention(df: DataFrame, window: int = 30) -> DataFrame:
-    """(cell, t, value): banded attention. 0.6 of the mean weighted by nearness and similarity, 0.4 of the mean of three: by nearness in half the window, by distance from the cell's mean, and by recency."""
-    z = normalise(df, "zscore")
-    z = per_cell(z, F.sum(F.abs("value")).alias("__g"))
-    f = near(z, window, window, lambda over: {"__w": F.collect_list(F.struct("t", "value")).over(over(-window, window)), "__r": F.collect_list(F.struct("t", "value")).over(over(-window, 0))})
-    own, half = F.col("value"), window // 2
+    """(cell, t, value): banded attention. 0.6 of the mean weighted by nearness and similarity, 0.4 of the mean of three: by nearness in half the window, by distance from the cell's mean, and by recency.
+
+    The band is a matrix of frames by 2 * window + 1 neighbours, for a block of frames at a time.
+    """
+    z = per_cell(normalise(df, "zscore"), F.sum(F.abs("value")).alias("__g"))
+    w, half = window, window // 2
+    gap = np.abs(np.arange(-w, w + 1))
+    near_w, near_h = np.exp(-gap / w), np.where(gap <= half, np.exp(-gap / max(half, 1)), 0.0)
 
-    def mean(items: Column, weight) -> Column:
-        sums = F.aggregate(items, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), lambda a, e: F.struct((a["n"] + weight(e)).alias("n"), (a["s"] + weight(e) * e["value"]).alias("s")))
-        return F.try_divide(sums["s"], sums["n"])
+    def attend(x: np.ndarray, figures: dict[str, float]) -> np.ndarray:
+        band = np.lib.stride_tricks.sliding_window_view(np.pad(x, w, constant_values=np.nan), 2 * w + 1)
+        out = np.empty(len(x))
+        for a in range(0, len(x), 20_000):
+            b, own = band[a : a + 20_000], x[a : a + 20_000, None]
+            there = np.isfinite(b)
+            v = np.where(there, b, 0.0)
 
-    gap = lambda e: F.abs(e["t"] - F.col("t")).cast("double")
-    both = mean(F.col("__w"), lambda e: F.exp(-gap(e) / window) / (1 + F.abs(e["value"] - own)))
-    local = mean(F.filter("__w", lambda e: F.abs(e["t"] - F.col("t")) <= half), lambda e: F.exp(-gap(e) / half))
-    recent = mean(F.col("__r"), lambda e: (e["t"] - F.element_at("__r", 1)["t"] + 1).cast("double"))
-    spread = F.coalesce(F.try_divide(F.abs(own), "__g") * own, F.lit(0.0))
-    return f.select("cell", "t", (0.6 * both + 0.4 * (local + spread + recent) / 3).alias("value"))
+            def mean(weight: np.ndarray, v: np.ndarray = v, there: np.ndarray = there) -> np.ndarray:
+                weight = weight * there
+                return (weight * v).sum(1) / weight.sum(1)
+
+            with np.errstate(all="ignore"):
+                # recency counts from the first frame of the band that is there
+                age = np.where(np.arange(2 * w + 1) <= w, np.arange(2 * w + 1) - np.argmax(there, 1)[:, None] + 1, 0)
+                own_part = np.nan_to_num(np.abs(own[:, 0]) / figures["__g"] * own[:, 0]) if figures["__g"] else 0.0
+                out[a : a + 20_000] = 0.6 * mean(near_w / (1 + np.abs(v - own))) + 0.4 * (mean(np.broadcast_to(near_h, b.shape)) + own_part + mean(age.astype(float))) / 3
+        return out
+
+    return by_blocks(z, window, window, attend, ("__g",))
 
 
 def attention_threshold(df: DataFrame, window: int = 30) -> DataFrame:
@@ -210,11 +238,48 @@ def mean_threshold(df: DataFrame, sds: float = 2.0) -> DataFrame:
     return mark(df, f.filter(F.col("value") > F.col("__m") + sds * F.col("__s")).select("cell", "t"))
 
 
-def rolling_threshold(df: DataFrame, window: int = 20) -> DataFrame:
-    """spike where the value exceeds the centred rolling mean plus two rolling sds of full windows; no fit."""
-    a, b = (window - 1) // 2, window // 2
-    f = near(df, a, b, lambda over: {"__n": F.count("value").over(over(-a, b)), "__m": F.avg("value").over(over(-a, b)), "__s": F.stddev_samp("value").over(over(-a, b))})
-    return mark(df, f.filter((F.col("__n") == window) & (F.col("value") > F.col("__m") + 2 * F.col("__s"))).select("cell", "t"))
+def rolling_threshold(df: DataFrame, window: int | None = None) -> DataFrame:
+    """spike where the value exceeds the centred rolling mean plus two rolling sds; no fit. The rolling sd is the root of the mean, over the window, of the squared distances of frames from their own rolling means.
+
+    window: frames, by default a twentieth of the cell's, at least 5 and at most 50; frames without a full window of full windows are none.
+    """
+    most = window or 50
+
+    def above(x: np.ndarray, figures: dict[str, float]) -> np.ndarray:
+        w = window or max(5, min(50, int(figures["__n"]) // 20))
+        before, after = (w - 1) // 2, w // 2
+        x = x - (np.nanmean(x) if np.isfinite(x).any() else 0.0)
+        n, s, _ = window_moments(x, before, after)
+        d = (x - np.where(n == w, s / w, np.nan)) ** 2
+        k, q, _ = window_moments(d, before, after)
+        with np.errstate(all="ignore"):
+            return np.where((k == w) & (x > s / w + 2 * np.sqrt(q / w)), 1.0, np.nan)
+
+    found = by_blocks(per_cell(df, F.count("*").alias("__n")), most, most, above, ("__n",)).filter(F.col("value").isNotNull())
+    return mark(df, found.select("cell", "t"))
+
+
+def sliding_windows(df: DataFrame, size: int = 20) -> DataFrame:
+    """(cell, t, values): the readings of frames t .. t + size - 1, for every t whose window is whole and lacks none."""
+    f = near(df, 0, size - 1, lambda over: {"values": F.collect_list("value").over(over(0, size - 1))})
+    return f.filter(F.size("values") == size).select("cell", "t", "values")
+
+
+def window_features(df: DataFrame, size: int = 20) -> DataFrame:
+    """(cell, t, mean, sd, trend, autocorr) of the whole window that begins at t: mean, sample sd, least-squares slope, lag-1 autocorrelation."""
+    w, last = size, size - 1
+    z = near(df, 0, 1, lambda over: {"__p": F.col("value") * F.max("value").over(over(1, 1)), "__tx": F.col("t") * F.col("value")})
+    s = near(z, 0, last, lambda over: {"__n": F.count("value").over(over(0, last)), "__s": F.sum("value").over(over(0, last)), "sd": F.stddev_samp("value").over(over(0, last)), "__q": F.sum(F.col("value") * F.col("value")).over(over(0, last)), "__k": F.sum("__tx").over(over(0, last)), "__c": F.sum("__p").over(over(0, last - 1)), "__e": F.max("value").over(over(last, last))})
+    m = F.col("__s") / w
+    slope = (F.col("__k") - F.col("t") * F.col("__s") - (last / 2) * F.col("__s")) / (w * (w * w - 1) / 12)
+    acf = F.try_divide(F.col("__c") - m * (2 * F.col("__s") - F.col("value") - F.col("__e")) + last * m * m, F.col("__q") - w * m * m)
+    return s.filter(F.col("__n") == w).select("cell", "t", m.alias("mean"), "sd", slope.alias("trend"), acf.alias("autocorr"))
+
+
+def lags(df: DataFrame, most: int = 5) -> DataFrame:
+    """(cell, t, lag_1 .. lag_most): the readings of the frames before, for frames that have all of them."""
+    f = near(df, most, 0, lambda over: {f"lag_{i}": F.max("value").over(over(-i, -i)) for i in range(1, most + 1)})
+    return f.select("cell", "t", *[f"lag_{i}" for i in range(1, most + 1)]).dropna()
 
 
 def spike_probability(df: DataFrame, interval: int = 5) -> DataFrame:

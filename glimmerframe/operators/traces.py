@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,36 @@ def near(df: DataFrame, before: int, after: int, named: Callable[[Callable], dic
     return out.filter(F.col("__block") == F.col("__own")).drop("__block", "__own")
 
 
+def by_blocks(df: DataFrame, before: int, after: int, run: Callable[[np.ndarray, dict[str, float]], np.ndarray], figures: tuple[str, ...] = (), block: int = BLOCK_FRAMES) -> DataFrame:
+    """(cell, t, value): run(values, figures) over blocks of frames with their halo, as arrays of consecutive frames (NaN where a reading is missing); figures are columns of one value a cell.
+
+    For windows whose width is a cell's own, and for sums that no window function states. A result that is not finite is null.
+    """
+    kind = df.schema["cell"].dataType.simpleString()
+    wide = halo(df.select("cell", "t", "value", *figures), before, after, block)
+
+    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        t = table["t"].to_numpy()
+        first = t.min()
+        x = np.full(t.max() - first + 1, np.nan)
+        x[t - first] = table["value"].to_numpy(zero_copy_only=False)
+        y = np.asarray(run(x, {f: table[f][0].as_py() for f in figures}), float)
+        own = table.filter(pc.equal(table["__own"], key[1]))
+        out = y[own["t"].to_numpy() - first]
+        return pa.table([own["cell"], own["t"], pa.array(out, mask=~np.isfinite(out))], ["cell", "t", "value"])
+
+    return wide.groupBy("cell", "__block").applyInArrow(one, f"cell {kind}, t long, value double")
+
+
+def window_moments(x: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, sum, sum of squares) of the readings among frames i - before .. i + after of an array, for every i."""
+    good = np.isfinite(x)
+    v = np.where(good, x, 0.0)
+    sums = np.cumsum(np.concatenate([np.zeros((3, 1)), [good, v, v * v]], 1), 1)
+    i = np.arange(len(x))
+    return tuple(sums[:, np.minimum(i + after + 1, len(x))] - sums[:, np.maximum(i - before, 0)])
+
+
 def per_cell(df: DataFrame, *aggregates: Column, by: tuple[str, ...] = ("cell",)) -> DataFrame:
     """df joined with aggregates of each cell."""
     return df.join(df.groupBy(*by).agg(*aggregates), list(by))

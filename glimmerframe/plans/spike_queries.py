@@ -138,11 +138,36 @@ def spikes_mean_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mean_threshold(traces(spark, sf_dir))
 
 
-@register("spikes_rolling_threshold", f"{W}, kept AS (SELECT cell, t FROM (SELECT *, count(*) OVER w AS n, avg(value) OVER w + 2 * stddev_samp(value) OVER w AS lim FROM traces WINDOW w AS (PARTITION BY cell ORDER BY t ROWS BETWEEN 9 PRECEDING AND 10 FOLLOWING)) WHERE n = 20 AND value > lim), {MARKED} {PLAIN}")
+ROLLING = """n AS (SELECT cell, greatest(5, least(50, count(*) // 20)) AS w FROM traces GROUP BY cell),
+a AS (SELECT x.cell, x.t, any_value(x.value) AS x, avg(y.value) AS m, any_value(w) AS w FROM traces x JOIN n ON n.cell = x.cell JOIN traces y ON y.cell = x.cell AND y.t BETWEEN x.t - (w - 1) // 2 AND x.t + w // 2 GROUP BY x.cell, x.t HAVING count(*) = any_value(w)),
+r AS (SELECT x.cell, x.t FROM a x JOIN a y ON y.cell = x.cell AND y.t BETWEEN x.t - (x.w - 1) // 2 AND x.t + x.w // 2 GROUP BY x.cell, x.t HAVING count(*) = any_value(x.w) AND any_value(x.x) > any_value(x.m) + 2 * sqrt(avg((y.x - y.m) * (y.x - y.m))))"""
+
+
+@register("spikes_rolling_threshold", f"{W}, {ROLLING}, kept AS (SELECT cell, t FROM r), {MARKED} {PLAIN}")
 def spikes_rolling_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rolling_threshold(traces(spark, sf_dir))
 
 
+@register("sliding_windows", f"{W}, w AS (SELECT cell, t, count(*) OVER p AS n, first(value) OVER p AS first, last(value) OVER p AS last FROM traces WINDOW p AS (PARTITION BY cell ORDER BY t ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) SELECT cell, t, first, last FROM w WHERE n = 20")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sliding_windows(traces(spark, sf_dir)).select("cell", "t", F.get("values", F.lit(0)).alias("first"), F.get("values", F.lit(19)).alias("last"))
+
+
+FEATURES = """w AS (SELECT a.cell, a.t, avg(b.value) AS m, stddev_samp(b.value) AS sd, regr_slope(b.value, b.t) AS trend, sum(b.value * b.value) - 20 * avg(b.value) * avg(b.value) AS q FROM traces a JOIN traces b ON a.cell = b.cell AND b.t BETWEEN a.t AND a.t + 19 GROUP BY a.cell, a.t HAVING count(*) = 20),
+ac AS (SELECT w.cell, w.t, sum((b.value - m) * (c.value - m)) / nullif(any_value(q), 0) AS acf FROM w JOIN traces b ON w.cell = b.cell AND b.t BETWEEN w.t AND w.t + 18 JOIN traces c ON c.cell = b.cell AND c.t = b.t + 1 GROUP BY w.cell, w.t)"""
+
+
+@register("window_features", f"{W}, {FEATURES} SELECT cell, t, round(m, 5) AS mean, round(sd, 5) AS sd, round(trend, 5) + 0.0 AS trend, round(acf, 5) + 0.0 AS autocorr FROM w JOIN ac USING (cell, t)")
+def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.window_features(traces(spark, sf_dir))
+    return f.select("cell", "t", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("mean", "sd", "trend", "autocorr")])
+
+
+@register("lags", f"{W}, l AS (SELECT cell, t, {', '.join(f'lag(value, {i}) OVER p AS lag_{i}' for i in range(1, 6))} FROM traces WINDOW p AS (PARTITION BY cell ORDER BY t)) SELECT * FROM l WHERE lag_5 IS NOT NULL")
+def lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.lags(traces(spark, sf_dir))
+
+
 @register("prob_spikes", f"{W}, {MEAN2}, {keep(6)} SELECT t.cell, t.t, (CASE WHEN kept.t IS NOT NULL THEN 0.8 WHEN c.t IS NOT NULL THEN 0.3 ELSE 0.1 END)::DOUBLE AS probability FROM traces t LEFT JOIN c ON c.cell = t.cell AND c.t = t.t LEFT JOIN kept ON kept.cell = t.cell AND kept.t = t.t")
 def prob_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spike_probability(traces(spark, sf_dir))

@@ -140,3 +140,27 @@ def test_products_of_blocks_and_groups(spark, monkeypatch):
         assert all(w == pytest.approx(r(a, b, 0), abs=1e-9) for (a, b), w in got.items() if b != "k")
         late = {(e.src, e.dst, e.lag): e.r for e in network.lagged_correlation(df, 3).filter("src <> 'k' and dst <> 'k'").collect()}
         assert len(late) == 7 * 6 * 3 and all(w == pytest.approx(r(*k), abs=1e-9) for k, w in late.items())
+
+
+def test_long_runs_of_spikes_are_not_forgotten(spark):
+    n = 1500
+    marks = [1.0 if 100 <= i < 1200 or i % 211 == 0 else 0.0 for i in range(1, n + 1)]
+    df = frame(spark, a=[2.0] * n)
+    at = spark.createDataFrame([("a", i + 1) for i, m in enumerate(marks) if m], "cell string, t long")
+    want = [2.0]
+    for m in marks[:-1]:
+        want.append(want[-1] + 1 if m else want[-1] * np.exp(-1))
+    got = [r.fit for r in spikes.concentration(df, at).orderBy("t").collect()]
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_bands_in_blocks_are_those_of_one_block(spark, monkeypatch):
+    g = np.random.default_rng(2)
+    df = frame(spark, a=g.normal(size=400), b=[None if g.random() < 0.1 else float(v) for v in g.normal(size=90)], c=[1.0] * 12)
+    for run in (spikes.attention, spikes.local_threshold, spikes.rolling_threshold):
+        whole = {(r.cell, r.t): r[-1] for r in run(df).collect()}
+        monkeypatch.setattr(traces.by_blocks, "__defaults__", ((), 64))
+        parts = {(r.cell, r.t): r[-1] for r in run(df).collect()}
+        monkeypatch.undo()
+        assert whole.keys() == parts.keys()
+        assert all(v == parts[k] or v == pytest.approx(parts[k], abs=1e-9) for k, v in whole.items())
