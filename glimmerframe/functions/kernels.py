@@ -48,6 +48,55 @@ def loess(t: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     return out
 
 
+def loess_interpolated(t: np.ndarray, y: np.ndarray, span: float, cell: float = 0.2) -> np.ndarray:
+    """loess fitted at a few vertices only, with cubic interpolation by the fits' values and slopes between them; NaN where y is missing.
+
+    Readings are halved at their median until a part holds at most n * span * cell of them; the ends of the parts are the vertices. Work grows with the
+    number of vertices times n * span instead of n times n * span.
+    """
+    out, good = np.full(len(y), np.nan), np.isfinite(y)
+    x, v = t[good].astype(float), y[good]
+    n = len(x)
+    q, most = min(n, max(3, int(n * span + 1e-5))), int(n * span * cell)
+    if n < 8 or most < 1 or x.min() == x.max():
+        return loess(t, y, span)
+    order = np.argsort(x, kind="stable")
+    x, v = x[order], v[order]
+    margin = 0.005 * (x[-1] - x[0])
+    vertices, parts = [x[0] - margin, x[-1] + margin], [(0, n - 1)]
+    while parts:
+        a, b = parts.pop()
+        if b - a + 1 > most:
+            m = (a + b) // 2
+            if x[m] < x[m + 1]:
+                vertices.append((x[m] + x[m + 1]) / 2)
+                parts += [(a, m), (m + 1, b)]
+    vertices = np.array(sorted(vertices))
+    value, slope = np.empty(len(vertices)), np.empty(len(vertices))
+    line = np.polyfit(x, v, 1)
+    for i, at in enumerate(vertices):
+        d = np.abs(x - at)
+        near = np.argpartition(d, q - 1)[:q]
+        h = d[near].max() * max(1.0, span)
+        s = (x[near] - at) / h
+        w = np.maximum(0.0, 1 - np.abs(s) ** 3) ** 3
+        design = np.stack([np.ones(q), s, s * s], 1)
+        m = (design * w[:, None]).T @ design
+        if abs(np.linalg.det(m)) > 1e-12 * max(m[0, 0], 1e-300) ** 3:
+            c = np.linalg.solve(m, (design * w[:, None]).T @ v[near])
+            value[i], slope[i] = c[0], c[1] / h
+        else:
+            value[i], slope[i] = line[0] * at + line[1], line[0]
+    k = np.clip(np.searchsorted(vertices, x, "right") - 1, 0, len(vertices) - 2)
+    width = vertices[k + 1] - vertices[k]
+    u = (x - vertices[k]) / width
+    fit = (1 + 2 * u) * (1 - u) ** 2 * value[k] + u * (1 - u) ** 2 * width * slope[k] + u**2 * (3 - 2 * u) * value[k + 1] + u**2 * (u - 1) * width * slope[k + 1]
+    back = np.empty(n)
+    back[order] = fit
+    out[good] = back
+    return out
+
+
 def robust_pca(m: np.ndarray, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Low-rank and sparse part by alternating shrinkage with multipliers; penalty 1 / sqrt(max side)."""
     penalty = 1 / np.sqrt(max(m.shape))
@@ -152,25 +201,46 @@ def haar(y: np.ndarray, levels: int = 3, noise: float = 0.1) -> np.ndarray:
 
 
 def ward(distance: np.ndarray, k: int) -> np.ndarray:
-    """Labels 1.. of k clusters by Ward's criterion on squared distances; clusters are numbered by their first member."""
+    """Labels 1.. of k clusters by Ward's criterion on squared distances; clusters are numbered by their first member.
+
+    Chains of nearest neighbours: two clusters that are each other's nearest are merged whenever a chain finds them, which gives the merges of the greedy order in quadratic time; the
+    lowest n - k of them are kept.
+    """
     n = len(distance)
     d = distance.astype(float) ** 2
     np.fill_diagonal(d, np.inf)
-    size, member = np.ones(n), [[i] for i in range(n)]
-    for _ in range(n - max(1, min(k, n))):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-        new[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        member[i] += member[j]
-        member[j] = []
-    out = np.zeros(n, int)
-    for label, m in enumerate(sorted((m for m in member if m), key=min), 1):
-        out[m] = label
-    return out
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        a = chain[-1]
+        b = int(np.argmin(d[a]))
+        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            b = chain[-2]
+            del chain[-2:]
+            i, j = min(a, b), max(a, b)
+            merges.append((d[i, j], i, j))
+            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+            new[~alive] = np.inf
+            d[i], d[:, i] = new, new
+            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+            size[i] += size[j]
+            alive[j] = False
+        else:
+            chain.append(b)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - max(1, min(k, n))]:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    number: dict[int, int] = {}
+    return np.array([number.setdefault(find(i), len(number) + 1) for i in range(n)], int)
 
 
 def spike_sampler(y: np.ndarray, model: str, draws: int, burn: int, g: np.random.Generator) -> dict[str, np.ndarray]:

@@ -38,11 +38,18 @@ def per_trace(df: DataFrame, run: Callable[[np.ndarray, np.ndarray], np.ndarray]
     return spread(df.select("cell", "t", "value"), "cell").groupBy("cell").applyInPandas(one, f"cell {kind}, t long, value double")
 
 
-def loess_baseline(df: DataFrame, span: float = CONFIG.span) -> DataFrame:
-    return per_trace(df, lambda t, y: K.loess(t, y, span))
+SURFACES = {"direct": K.loess, "interpolate": K.loess_interpolated}
 
 
-def correct(df: DataFrame, background: DataFrame | None = None, method: str = "modern", span: float = CONFIG.span, normalise: bool = True) -> DataFrame:
+def loess_baseline(df: DataFrame, span: float = CONFIG.span, surface: str = "direct") -> DataFrame:
+    """The local quadratic fit at every frame (direct), or at a few vertices with interpolation between them (interpolate: for long traces)."""
+    if surface not in SURFACES:
+        raise ValueError("surface must be direct or interpolate")
+    fit = SURFACES[surface]
+    return per_trace(df, lambda t, y: fit(t, y, span))
+
+
+def correct(df: DataFrame, background: DataFrame | None = None, method: str = "modern", span: float = CONFIG.span, normalise: bool = True, surface: str = "direct") -> DataFrame:
     """Background-subtracted, normalised (value / mean, modern only) traces less their LOESS baseline; legacy adds 2 and does not normalise.
 
     span in [0.01, 1]; cells of null frames keep them; a cell of fewer than three readings has baseline 0.
@@ -51,10 +58,13 @@ def correct(df: DataFrame, background: DataFrame | None = None, method: str = "m
         raise ValueError("method must be modern or legacy")
     if not 0.01 <= span <= 1:
         raise ValueError("span must be between 0.01 and 1")
+    if surface not in SURFACES:
+        raise ValueError("surface must be direct or interpolate")
     df = df if background is None else T.subtract_background(df, background)
     df = T.normalise(df) if method == "modern" and normalise else df
     add = 0.0 if method == "modern" else 2.0
-    return per_trace(df, lambda t, y: y - K.loess(t, y, span) + add)
+    fit = SURFACES[surface]
+    return per_trace(df, lambda t, y: y - fit(t, y, span) + add)
 
 
 def in_chunks(df: DataFrame, operator: Callable[[DataFrame], DataFrame], rows: int = CONFIG.chunk_rows) -> DataFrame:

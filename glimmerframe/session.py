@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="glimmerframe-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,26 +37,45 @@ STATE = "seen long, mean double, m2 double"
 SPIKES = "cell string, at timestamp, value double, spike boolean"
 
 
-def running_spikes(readings: DataFrame, sds: float = 3.0, warm_up: int = 20) -> DataFrame:
+def running(v: np.ndarray, seen: int, mean: float, m2: float, sds: float, warm_up: int) -> tuple[np.ndarray, int, float, float]:
+    """(spike, seen, mean, m2): which values exceed the mean by sds sds of the values before them, and the moments after the last one; NaN is none and moves nothing."""
+    good = np.isfinite(v)
+    d = np.where(good, v - mean, 0.0)  # relative to the mean so far
+    n = seen + np.cumsum(good)
+    s, q = np.cumsum(d), m2 + np.cumsum(d * d)
+    before = lambda x, start: np.concatenate([[start], x[:-1]])
+    k, a, b = before(n, seen), before(s, 0.0), before(q, m2)
+    with np.errstate(all="ignore"):
+        centre = mean + np.where(k > 0, a / k, 0.0)
+        sd = np.sqrt(np.maximum(0.0, np.where(k > 1, (b - np.where(k > 0, a * a / k, 0.0)) / (k - 1), 0.0)))
+    spike = good & (k >= warm_up) & (v > centre + sds * sd)
+    if not len(v) or n[-1] == 0:
+        return spike, seen, mean, m2
+    return spike, int(n[-1]), float(mean + s[-1] / n[-1]), float(max(0.0, q[-1] - s[-1] ** 2 / n[-1]))
+
+
+def running_spikes(readings: DataFrame, sds: float = 3.0, warm_up: int = 20, late: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
     """(cell, at, value, spike) on a stream of (cell, at, value): a reading is a spike if it exceeds the running mean by sds running sds of the readings before it.
 
-    State per cell is three numbers; readings of one micro-batch are taken in order of time.
+    State per cell is three numbers, dropped when no reading has come for idle_ms: by the clock, or, where `late` is given, by the time of the readings, and readings later than
+    that are then dropped by the watermark. Readings of one micro-batch are taken in order of time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        p = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for at, v in zip(p["at"], p["value"]):
-            spread = (m2 / (seen - 1)) ** 0.5 if seen > 1 else 0.0
-            out.append((key[0], at, v, bool(seen >= warm_up and v > mean + sds * spread)))
-            if v == v:
-                seen += 1
-                step_ = v - mean
-                mean += step_ / seen
-                m2 += step_ * (v - mean)
-        state.update((seen, mean, m2))
-        yield pd.DataFrame(out, columns=["cell", "at", "value", "spike"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else (0, 0.0, 0.0)
+        p = pd.concat(list(batches)).sort_values("at", kind="stable")
+        spike, *after = running(p["value"].to_numpy(float), *held, sds, warm_up)
+        state.update(tuple(after))
+        if late is None:
+            state.setTimeoutDuration(idle_ms)
+        else:
+            newest = int(p["at"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame({"cell": key[0], "at": p["at"], "value": p["value"], "spike": spike})
 
     rows = readings.select(F.col("cell").cast("string").alias("cell"), F.col("at").cast("timestamp").alias("at"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy("cell").applyInPandasWithState(step, SPIKES, STATE, "append", "NoTimeout")
+    rows = rows if late is None else rows.withWatermark("at", late)
+    return rows.groupBy("cell").applyInPandasWithState(step, SPIKES, STATE, "append", "ProcessingTimeTimeout" if late is None else "EventTimeTimeout")

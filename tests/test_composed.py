@@ -164,3 +164,61 @@ def test_bands_in_blocks_are_those_of_one_block(spark, monkeypatch):
         monkeypatch.undo()
         assert whole.keys() == parts.keys()
         assert all(v == parts[k] or v == pytest.approx(parts[k], abs=1e-9) for k, v in whole.items())
+
+
+def test_ward_keeps_the_lowest_merges():
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.normal(size=(30, 3)) + 20 * i for i in range(4)])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert K.ward(d, 4).tolist() == [i + 1 for i in range(4) for _ in range(30)]
+
+    def greedy(d, k):
+        d, groups = d**2, [[i] for i in range(len(d))]
+        while len(groups) > k:
+            cost = lambda a, b: 2 * len(a) * len(b) / (len(a) + len(b)) * (d[np.ix_(a, b)].mean() - d[np.ix_(a, a)].mean() / 2 - d[np.ix_(b, b)].mean() / 2)
+            _, i, j = min((cost(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            groups[i] += groups.pop(j)
+        return {frozenset(m) for m in groups}
+
+    y = g.normal(size=(25, 2))
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2))
+    for k in (1, 3, 7, 25):
+        labels = K.ward(d, k)
+        assert {frozenset(np.flatnonzero(labels == v).tolist()) for v in set(labels)} == greedy(d, k) and labels[0] == 1
+
+
+def test_interpolated_fit_is_near_the_direct_one(spark):
+    t = np.arange(1, 3001)
+    y = np.sin(t / 400) + np.random.default_rng(0).normal(size=3000) * 0.1
+    y[5::97] = np.nan
+    a, b = K.loess(t, y, 0.3), K.loess_interpolated(t, y, 0.3)
+    assert np.isnan(b).sum() == np.isnan(y).sum() and np.nanmax(np.abs(a - b)) < 0.02
+    line = frame(spark, a=2.0 * t[:200] + 1)
+    assert max(abs(r.value - (2 * r.t + 1)) for r in numeric.loess_baseline(line, 0.4, "interpolate").collect()) < 1e-6
+    with pytest.raises(ValueError):
+        numeric.loess_baseline(line, 0.4, "none")
+
+
+def test_running_moments_over_batches():
+    from glimmerframe.streaming.spikes import running
+
+    v = np.concatenate([np.random.default_rng(1).normal(size=60) + 100, [np.nan, 130.0], np.random.default_rng(2).normal(size=40) + 100])
+    want = []
+    for i, x in enumerate(v):
+        past = v[:i][np.isfinite(v[:i])]
+        want.append(bool(np.isfinite(x) and len(past) >= 20 and x > past.mean() + 3 * past.std(ddof=1)))
+    held, got = (0, 0.0, 0.0), []
+    for a, b in ((0, 7), (7, 7), (7, 61), (61, 62), (62, 102)):
+        spike, *held = running(v[a:b], *held, 3.0, 20)
+        got += spike.tolist()
+    assert got == want and want[61] and held[0] == 101
+
+
+def test_stream_with_a_watermark(spark, tmp_path):
+    from glimmerframe.streaming.spikes import read_stream, running_spikes
+
+    rows = spark.range(1, 401, 1, 4).select((F.col("id") % 3).cast("string").alias("cell"), F.timestamp_seconds(F.col("id") * 60).alias("at"), F.when(F.col("id") == 390, 50.0).otherwise((F.col("id") % 7).cast("double")).alias("value"))
+    rows.write.parquet(str(tmp_path / "in"))
+    q = running_spikes(read_stream(spark, str(tmp_path / "in"), rows.schema), late="2 days", idle_ms=1000).writeStream.format("memory").queryName("late_spikes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("late_spikes").count() == 400 and [r.value for r in spark.table("late_spikes").filter("spike").collect()] == [50.0]
