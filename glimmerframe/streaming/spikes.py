@@ -57,25 +57,23 @@ def running(v: np.ndarray, seen: int, mean: float, m2: float, sds: float, warm_u
 def running_spikes(readings: DataFrame, sds: float = 3.0, warm_up: int = 20, late: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
     """(cell, at, value, spike) on a stream of (cell, at, value): a reading is a spike if it exceeds the running mean by sds running sds of the readings before it.
 
-    State per cell is three numbers, dropped when no reading has come for idle_ms: by the clock, or, where `late` is given, by the time of the readings, and readings later than
-    that are then dropped by the watermark. Readings of one micro-batch are taken in order of time.
+    State per cell is three numbers. Where `late` is given, readings later than that are dropped by the watermark, and the state of a cell that has had no reading for idle_ms of event
+    time is dropped too; without it state is kept. Readings of one micro-batch are taken in order of time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if late is not None and state.hasTimedOut:
             state.remove()
             return
         held = state.get if state.exists else (0, 0.0, 0.0)
         p = pd.concat(list(batches)).sort_values("at", kind="stable")
         spike, *after = running(p["value"].to_numpy(float), *held, sds, warm_up)
         state.update(tuple(after))
-        if late is None:
-            state.setTimeoutDuration(idle_ms)
-        else:
+        if late is not None:
             newest = int(p["at"].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"cell": key[0], "at": p["at"], "value": p["value"], "spike": spike})
 
     rows = readings.select(F.col("cell").cast("string").alias("cell"), F.col("at").cast("timestamp").alias("at"), F.col("value").cast("double").alias("value"))
     rows = rows if late is None else rows.withWatermark("at", late)
-    return rows.groupBy("cell").applyInPandasWithState(step, SPIKES, STATE, "append", "ProcessingTimeTimeout" if late is None else "EventTimeTimeout")
+    return rows.groupBy("cell").applyInPandasWithState(step, SPIKES, STATE, "append", "NoTimeout" if late is None else "EventTimeTimeout")
