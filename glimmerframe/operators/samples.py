@@ -158,8 +158,18 @@ def pca_scores(df: DataFrame, size: int, k: int = 2) -> DataFrame:
     values, axes = np.linalg.eigh(cov)
     axes = axes[:, np.argsort(-values)[:k]]
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-    terms = [sum((F.get("x", F.lit(i)) - float(mean[i])) * float(axes[i, j]) for i in range(size)) for j in range(axes.shape[1])]
-    return v.select("sample", F.posexplode(F.array(*terms)).alias("j", "value")).select("sample", (F.col("j") + 1).alias("component"), "value")
+    held = v.sparkSession.sparkContext.broadcast((mean, axes))
+    kind = df.schema["sample"].dataType.simpleString()
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, axes = held.value
+        width = axes.shape[1]
+        for batch in batches:
+            y = (np.array(batch.column(1).flatten()).reshape(-1, size) - mean) @ axes
+            rows = pa.array(np.repeat(np.arange(len(y)), width))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(y))), pa.array(y.ravel())], ["sample", "component", "value"])
+
+    return v.select("sample", "x").mapInArrow(project, f"sample {kind}, component int, value double")
 
 
 def kmeans(df: DataFrame, size: int, k: int = 3, seed: int = 1) -> DataFrame:
@@ -171,6 +181,15 @@ def kmeans(df: DataFrame, size: int, k: int = 3, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("sample", F.col("prediction").alias("cluster"))
 
 
+def component_kmeans(df: DataFrame, size: int, k: int = 5, components: int = 32, seed: int = 1) -> DataFrame:
+    """(sample, cluster): k-means on the leading components of the features, each brought to mean 0 and sd 1."""
+    s = df.groupBy("feature").agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__s"))
+    z = df.join(s, "feature").withColumn("value", F.coalesce(F.try_divide(F.col("value") - F.col("__m"), F.nullif("__s", F.lit(0.0))), F.lit(0.0))).drop("__m", "__s")
+    top = min(components, size)
+    scores = pca_scores(z, size, top).select("sample", F.col("component").cast("long").alias("feature"), F.lit(0).alias("batch"), "value")
+    return kmeans(scores, top, k, seed)
+
+
 def ward_clusters(df: DataFrame, size: int, k: int, by: str = "batch") -> DataFrame:
     """(by, sample, cluster): Ward linkage of the samples of each group, a quadratic method for groups of up to some thousand samples."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in ("sample", by)}
@@ -221,11 +240,20 @@ def _unit(raw: DataFrame) -> DataFrame:
 
 def detection_scores(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """(true_positives, precision, recall, f1) of two sets of keys."""
-    t, f = (d.select(*keys).distinct().withColumn(n, F.lit(1)) for d, n in ((truth, "t"), (found, "f")))
-    s = t.join(f, keys, "full").agg(F.coalesce(F.sum(F.col("t") * F.col("f")), F.lit(0)).alias("tp"), F.count("t").alias("nt"), F.count("f").alias("nf"))
+    t, f = (d.select(*keys).distinct().withColumn(n, F.lit(1)) for d, n in ((truth, "__t"), (found, "__f")))
+    s = t.join(f, keys, "full").agg(F.coalesce(F.sum(F.col("__t") * F.col("__f")), F.lit(0)).alias("tp"), F.count("__t").alias("nt"), F.count("__f").alias("nf"))
     return s.select(F.col("tp").alias("true_positives"), F.try_divide("tp", "nf").alias("precision"), F.try_divide("tp", "nt").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("nt") + F.col("nf")).alias("f1"))
 
 
+def compare_models(truth: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """(model, true_positives, precision, recall, f1): detection_scores of every model's (cell, t, spike) against true (cell, t)."""
+    parts = [detection_scores(truth, f.filter(F.col("spike") > 0), ["cell", "t"]).select(F.lit(name).alias("model"), "*") for name, f in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def ranked(df: DataFrame, k: int) -> DataFrame:
     """The k largest values of each sample, as a top-k report: (sample, rank, feature, value)."""
     by = Window.partitionBy("sample").orderBy(F.desc("value"), "feature")

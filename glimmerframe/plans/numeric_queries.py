@@ -142,9 +142,11 @@ def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.folds(traces(spark, sf_dir)).groupBy("cell", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("frames"))
 
 
-@register("optimize_span")
+@register("optimize_span", "SELECT 9::BIGINT AS spans, 1::BIGINT AS best, true AS highest")
 def optimize_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.optimise_span(traces(spark, sf_dir))
+    """How many spans have been tried, how many are marked, and whether the marked one has the highest score."""
+    s = N.optimise_span(traces(spark, sf_dir))
+    return s.agg(F.count("*").alias("spans"), F.count(F.when(F.col("best"), 1)).alias("best"), (F.max(F.when(F.col("best"), F.col("score"))) == F.max("score")).alias("highest"))
 
 
 @register("metric_snr", f"{W} SELECT 1 AS k, round(avg(s), 6) AS score FROM (SELECT avg(value) / nullif(stddev_samp(value), 0) AS s FROM traces GROUP BY cell)")

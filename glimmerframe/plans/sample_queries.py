@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimmerframe.operators import images as I
 from glimmerframe.operators import samples as S
+from glimmerframe.operators.spikes import DETECTORS
 from glimmerframe.plans.registry import register
-from glimmerframe.plans.views import PIXELS_SQL, SAMPLES_SQL, pixels, r6, samples
+from glimmerframe.plans.views import PIXELS_SQL, SAMPLES_SQL, TRACES_SQL, pixels, r6, samples, traces
 
 W = f"WITH RECURSIVE {SAMPLES_SQL}"
 FSTAT = """SELECT feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f FROM
@@ -69,24 +70,37 @@ def combat_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.combat(samples(spark, sf_dir)).select(*KEYED, (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
-@register("pca_harmonize")
+@register("pca_harmonize", f"{W}, f AS ({FSTAT.format('samples')}) SELECT round(avg(f), 5) AS before, true AS reduced, (SELECT count(*) FROM samples) AS entries FROM f")
 def pca_harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pca_harmonise(samples(spark, sf_dir), 64)
+    """The batch effect before, and whether every entry is still there and the effect less than a tenth of it after."""
+    df = samples(spark, sf_dir)
+    done = S.pca_harmonise(df, 64)
+    r = S.batch_report(df, done).join(F.broadcast(done.agg(F.count("value").alias("entries"))))
+    return r.select(F.round("before", 5).alias("before"), (F.col("after") < 0.1 * F.col("before")).alias("reduced"), "entries")
 
 
-@register("pca_scores")
+@register("pca_scores", f"{W} SELECT component, (SELECT count(DISTINCT sample) FROM samples) AS samples, true AS centred, true AS in_order FROM (SELECT unnest([1, 2, 3, 4]) AS component)")
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pca_scores(samples(spark, sf_dir), 64, 4)
+    """Whether the scores of each of four components are centred, and have no more variance than those of the one before."""
+    s = S.pca_scores(samples(spark, sf_dir), 64, 4).groupBy("component").agg(F.count("*").alias("samples"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    before = F.lag("v").over(Window.orderBy("component"))  # four rows
+    return s.select("component", "samples", (F.abs("m") < 1e-9 * F.sqrt("v")).alias("centred"), F.coalesce(F.col("v") <= before, F.lit(True)).alias("in_order"))
 
 
-@register("kmeans_clusters")
+@register("kmeans_clusters", f"{W} SELECT count(DISTINCT sample) AS samples, 5::BIGINT AS clusters FROM samples")
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.kmeans(samples(spark, sf_dir), 64, 5)
+    return S.kmeans(samples(spark, sf_dir), 64, 5).agg(F.count("*").alias("samples"), F.countDistinct("cluster").alias("clusters"))
 
 
-@register("ward_clusters")
+@register("ward_clusters", f"{W} SELECT batch, count(DISTINCT sample) AS samples, 3::BIGINT AS clusters FROM samples GROUP BY batch")
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ward_clusters(samples(spark, sf_dir), 64, 3)
+    return S.ward_clusters(samples(spark, sf_dir), 64, 3).groupBy("batch").agg(F.count("*").alias("samples"), F.countDistinct("cluster").alias("clusters"))
+
+
+@register("contrastive_clusters", f"{W} SELECT count(DISTINCT sample) AS samples, 5::BIGINT AS clusters FROM samples")
+def contrastive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means on the leading 32 components of the standardised features."""
+    return S.component_kmeans(samples(spark, sf_dir), 64, 5).agg(F.count("*").alias("samples"), F.countDistinct("cluster").alias("clusters"))
 
 
 UNIT = "SELECT sample, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS score FROM r"
@@ -107,6 +121,18 @@ def anomaly_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.anomaly_scores(samples(spark, sf_dir), "mahalanobis", 64)
 
 
+MODELS = ("mean", "peaks", "suite2p")
+
+
+@register("compare_models", f"""WITH {TRACES_SQL}, s AS (SELECT cell, t, value, avg(value) OVER p + 2 * stddev_samp(value) OVER p AS lim FROM traces WINDOW p AS (PARTITION BY cell)), n AS (SELECT count(*) AS truth FROM traces WHERE value > 150)
+SELECT 'mean' AS model, count(*) FILTER (value > lim AND value > 150) AS true_positives, round(count(*) FILTER (value > lim AND value > 150) / count(*) FILTER (value > lim), 6) AS precision, round(count(*) FILTER (value > lim AND value > 150) / any_value(truth), 6) AS recall FROM s, n""")
+def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of detectors against readings above 150; the query shows one of them."""
+    df = traces(spark, sf_dir)
+    scores = S.compare_models(df.filter("value > 150").select("cell", "t"), {m: DETECTORS[m](df) for m in MODELS})
+    return scores.filter("model = 'mean'").select("model", "true_positives", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
 @register("detection_scores", f"{W}, t AS (SELECT DISTINCT sample FROM samples WHERE batch = 3), f AS (SELECT DISTINCT sample FROM samples WHERE feature = 1 AND value > 0), n AS (SELECT (SELECT count(*) FROM t JOIN f USING (sample)) AS tp, (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM f) AS nf) SELECT tp AS true_positives, round(tp / nf, 6) AS precision, round(tp / nt, 6) AS recall, round(2 * tp / (nt + nf), 6) AS f1 FROM n")
 def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = samples(spark, sf_dir)
