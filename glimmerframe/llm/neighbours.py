@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from glimmerframe.session import cut
 
-SAMPLE, MOST_CENTROIDS, INDEX_ROWS, QUERY_ROWS, LEAST_PARTS, TOGETHER = 20_000, 1024, 100_000, 100_000, 2, 64
+SAMPLE, MOST_CENTROIDS, INDEX_ROWS, LEAST_PARTS, TOGETHER = 20_000, 1024, 100_000, 2, 64
 MEASURED, RECALL, MARGIN = 512, 0.95, 2
 SCALE = float(1 << 30)
 
@@ -118,8 +118,8 @@ def most_similar(
     only ones that can be among anyone's k. Rows of null id are left out; of rows with one id that of the least hash of its shape counts. An empty table gives an empty
     result; other columns are ignored.
 
-    Each vector is shuffled once to meet its copies, then once to every part of the index that holds a cell of its walk; a part of the index, of bounded size, once for
-    every bounded number of queries that come to it.
+    Each vector is shuffled once to meet its copies, then as a query once to every part of the index that holds a cell of its walk; a part of the index, of bounded size, once for
+    every part whose queries come to it.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
@@ -160,7 +160,7 @@ def most_similar(
     for r in index.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("u").agg(F.collect_list("v").alias("v"), F.collect_list("n").alias("n")).collect():  # a row a centroid
         counts[r.u, r.v] = r.n
     enough = visited if visited is not None else int(margin * _measured(index, books.value, counts, k, size, recall, least))
-    parts, blocks = (max(min(LEAST_PARTS, total), -(-total // rows)) for rows in (INDEX_ROWS, QUERY_ROWS))
+    parts = max(min(LEAST_PARTS, total), -(-total // INDEX_ROWS))
     begins = np.cumsum(counts).reshape(width, width) - counts
     held = spark.sparkContext.broadcast((counts, begins * parts // total, (begins + np.maximum(counts, 1) - 1) * parts // total))
 
@@ -180,7 +180,7 @@ def most_similar(
                         reach += [first[i, u[-1]] + second[i, v[-1]]] * len(own)
                         to += own.tolist()
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(reach, pa.float64()), pa.array(to, pa.int32())], ["q", "y", "reach", "qpart"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(3)], pa.array(reach, pa.float64()), pa.array(to, pa.int32())], ["q", "y", "home", "reach", "qpart"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, _, _ = held.value
@@ -190,8 +190,11 @@ def most_similar(
             part = (begins[u, v] + inside.astype(np.int64)) * parts // total
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(part.astype(np.int32))], ["id", "x", "u", "v", "part"])
 
-    left = index.withColumn("h", F.xxhash64("id")).mapInArrow(place, f"id {kind}, x array<int>, u int, v int, part int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = index.select("id", "x").mapInArrow(probe, f"q {kind}, y array<int>, reach double, qpart int").withColumn("qblock", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    placed = index.withColumn("h", F.xxhash64("id")).mapInArrow(place, f"id {kind}, x array<int>, u int, v int, part int")
+    # queries of one part of the index, at most as many as the part holds, meet each part that holds a cell of their walks
+    probes = cut(placed.select("id", "x", "part").mapInArrow(probe, f"q {kind}, y array<int>, home int, reach double, qpart int"))
+    homes = probes.select("qpart", "home").distinct().groupBy("qpart").agg(F.collect_list("home").alias("homes"))  # a number a pair of parts at most
+    left = placed.join(F.broadcast(homes), F.col("part") == F.col("qpart")).select("id", "x", "u", "v", "part", F.explode("homes").alias("from"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[pa.Table] = []
@@ -226,7 +229,7 @@ def most_similar(
                 found.append(pa.table({"q": right["q"].take(pa.array(some[row])), "n": ids.take(pa.array(at[top[row, column]])), "similarity": value[row, column]}))
         return pa.concat_tables(found) if found else pa.table({"q": left["id"].slice(0, 0), "n": left["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
 
-    near = left.groupBy("part", "block").cogroup(right.groupBy("qpart", "qblock")).applyInArrow(compare, f"q {kind}, n {kind}, similarity double")
+    near = left.groupBy("part", "from").cogroup(probes.groupBy("qpart", "home")).applyInArrow(compare, f"q {kind}, n {kind}, similarity double")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))).filter(F.col("rank") <= k).drop("rank")
 
     # from classes back to vectors

@@ -66,7 +66,6 @@ def test_grid_of_parts_changes_nothing(spark, monkeypatch):
     rows += [(1000 + i, (np.arange(64.0) ** 2 + 1e-3 * r).tolist()) for i, r in enumerate(np.random.default_rng(1).normal(size=(90, 64)))]  # one crowded cell
     whole = sorted(map(tuple, N.most_similar(frame(spark, rows)).select("window_id", "rank", "neighbour").collect()))
     monkeypatch.setattr(N, "INDEX_ROWS", 7)
-    monkeypatch.setattr(N, "QUERY_ROWS", 11)
     assert sorted(map(tuple, N.most_similar(frame(spark, rows)).select("window_id", "rank", "neighbour").collect())) == whole
 
 
