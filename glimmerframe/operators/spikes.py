@@ -6,8 +6,10 @@ starts anew, so an island is folded without its cell.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +69,22 @@ def leaky(df: DataFrame, decay: Column, block: int) -> DataFrame:
     end = F.exp(-(F.col("__sum") + F.col("__d")))
     blocks = wide.groupBy("cell", "__block").agg(F.max_by(end, "t").alias("a"), F.max_by(F.col("__c") * F.exp(-F.col("__d")) + F.col("spike"), "t").alias("b"), F.max(F.when(F.col("t") == 1, F.col("value"))).alias("first"))
 
-    def chain(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("__block")
-        into, c = [], 0.0
-        for number, a, b, first in zip(p["__block"], p["a"], p["b"], p["first"]):
-            c = first if first == first and first is not None else c
-            into.append(c)
-            c = a * c + b
-        return pd.DataFrame({"cell": p["cell"], "__block": p["__block"], "__into": into})
-
-    chained = blocks.groupBy("cell").applyInPandas(chain, f"cell {kind}, __block long, __into double")
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, number, into = [], [], []
+            for i, parts in enumerate(batch.column(1).to_pylist()):
+                c = 0.0
+                for p in parts:
+                    c = c if p["first"] is None else p["first"]
+                    rows.append(i)
+                    number.append(p["__block"])
+                    into.append(c)
+                    c = p["a"] * c + p["b"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int64()), pa.array(into, pa.float64())], ["cell", "__block", "__into"])
+
+    # some numbers a block of each cell
+    numbers = blocks.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("__block", "a", "b", "first"))).alias("parts"))
+    chained = numbers.mapInArrow(chain, f"cell {kind}, __block long, __into double")
     wide = wide.join(chained, ["cell", "__block"])
     return wide.withColumn("fit", F.col("__c") + F.col("__into") * F.exp(-F.col("__sum"))).drop("__block", "__d", "__sum", "__c", "__into")
 
