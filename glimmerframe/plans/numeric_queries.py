@@ -182,11 +182,9 @@ for _name in ("poisson", "gaussian", "hierarchical"):
 @register("gibbs_gaussian", f"{W} SELECT cell, 1000::BIGINT AS draws, true AS mean_holds, true AS variance_holds FROM traces GROUP BY cell")
 def gibbs_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the mean of the draws of each parameter is near the mean of its conditional expectations given the other's draws."""
-    df = traces(spark, sf_dir)
-    obs = df.groupBy("cell").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    d = N.estimate_parameters(df).groupBy("cell", "draw").pivot("param", ["mean", "variance"]).agg(F.max("value")).join(obs, "cell")
-    m, v, n = F.col("mean"), F.col("variance"), F.col("n")
-    given = d.select("cell", "mean", "variance", (F.col("s") / v / (n / v + 0.1)).alias("em"), ((1 + (F.col("q") - 2 * m * F.col("s") + n * m * m) / 2) / (n / 2)).alias("ev"))
+    d = N.normal_posterior(traces(spark, sf_dir))
+    m, v, n, centre = F.col("mean"), F.col("variance"), F.col("n"), F.col("centre")
+    given = d.select("cell", "mean", "variance", (n * centre / v / (n / v + 0.1)).alias("em"), ((1 + n * (F.col("spread") + (centre - m) * (centre - m)) / 2) / (n / 2)).alias("ev"))
     near = lambda a, e: F.abs(F.avg(a) - F.avg(e)) < 0.25 * F.stddev(a)
     return given.groupBy("cell").agg(F.count("*").alias("draws"), near("mean", "em").alias("mean_holds"), near("variance", "ev").alias("variance_holds"))
 
